@@ -10,10 +10,17 @@ from pyspark.sql import functions as F
 from .chat import chat_digest, format_chat
 from .mixing import mix, word_sizes
 from .packing import pack
+from .quality_classifier import classify
+from .quality_rules import quality_rules
 from .shared import cut, table
 from .simhash import near_duplicates
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability")
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
@@ -37,7 +44,11 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(format_chat(rows.unionByName(extra)))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_simhash_dedup, op6_mix_sources, op7_pack, op8_chat_format)
+    f.__name__: f for f in (op2_quality_rules, op3_simhash_dedup, op6_mix_sources, op7_pack, op8_chat_format, op9_quality_classifier)
 }
 ORACLES: dict[str, str] = {}
