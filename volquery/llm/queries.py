@@ -10,12 +10,18 @@ from pyspark.sql import functions as F
 from .chat import chat_digest, format_chat
 from .mixing import mix, word_sizes
 from .packing import pack
+from .privacy import replace_private
 from .quality_classifier import classify
 from .quality_rules import quality_rules
+from .secrets import secret_digest, secret_scan
 from .shared import cut, table
 from .simhash import near_duplicates
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(secret_scan(table(spark, sf_dir, "documents")))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability")
@@ -26,6 +32,10 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_private(table(spark, sf_dir, "documents"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = cut(word_sizes(table(spark, sf_dir, "documents"), ["doc_id", "source"]), "mix-sizes")
     return mix(sizes).select("doc_id", "size", "source_size", "target", "taken", "position", "position_2")
@@ -49,6 +59,6 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_rules, op3_simhash_dedup, op6_mix_sources, op7_pack, op8_chat_format, op9_quality_classifier)
+    f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_simhash_dedup, op5_pii_surrogates, op6_mix_sources, op7_pack, op8_chat_format, op9_quality_classifier)
 }
 ORACLES: dict[str, str] = {}
