@@ -16,6 +16,8 @@ from .quality_rules import quality_rules
 from .secrets import secret_digest, secret_scan
 from .shared import cut, table
 from .simhash import near_duplicates
+from .topk import ORACLE_SQL as TOPK_SQL
+from .topk import top_k
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +34,11 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return top_k(vectors, F.col("vec_id") % 50 == 0)
+
+
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_private(table(spark, sf_dir, "documents"))
 
@@ -59,6 +66,6 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_simhash_dedup, op5_pii_surrogates, op6_mix_sources, op7_pack, op8_chat_format, op9_quality_classifier)
+    f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_simhash_dedup, op4_topk_search, op5_pii_surrogates, op6_mix_sources, op7_pack, op8_chat_format, op9_quality_classifier)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_topk_search": TOPK_SQL}
