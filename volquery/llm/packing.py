@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import cut, row_slices, small_frame, task_id
+from .word_bpe import WordBpe
 
 WINDOW = 4096
 END_ID = 2
-#: Words whose ids a worker remembers.  Only speed depends on it.
-REMEMBERED_WORDS = 200_000
+#: Text worked on at once; words are encoded once in it.
+TEXT_BYTES = 8 << 20
 
 
 def default_tokenizer() -> str:
@@ -31,62 +32,40 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordTokenizer:
-    """Ids of texts by way of their words.
+def encode_texts(bpe: WordBpe, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts end to end, each closed by END_ID; the n + 1 offsets of the rows.
 
     The tokenizer drops white space and never merges or composes across it, so the ids of a text are
-    those of its ASCII-space-separated words in order; words repeat, and are looked up."""
-
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
-
-    def ids(self, words: list[str]) -> list[np.ndarray]:
-        known = self.known
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > REMEMBERED_WORDS:
-            known.clear()
-            new = words
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[word] = np.array(got.ids, dtype=np.int32)
-        return [known[w] for w in words]
-
-    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts end to end, each closed by END_ID; the n + 1 offsets of the rows."""
-        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        row_ends = split.offsets.to_numpy().astype(np.int64)
-        coded = pc.dictionary_encode(split.values.slice(row_ends[0], row_ends[-1] - row_ends[0]))
-        row_ends = row_ends - row_ends[0]
-        pieces = self.ids(coded.dictionary.to_pylist())
-        sizes = np.array([len(x) for x in pieces], dtype=np.int64)
-        flat = np.concatenate(pieces) if pieces else np.zeros(0, np.int32)
-        at = np.concatenate([[0], np.cumsum(sizes)])
-        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        n = sizes[code]
-        word_ends = np.concatenate([[0], np.cumsum(n)])
-        # token i of word j: flat[at[code[j]] + i]; each row gets one more id at its end
-        source = np.repeat(at[code] - word_ends[:-1], n) + np.arange(word_ends[-1])
-        offsets = word_ends[row_ends] + np.arange(len(row_ends))
-        out = np.full(offsets[-1], END_ID, dtype=np.int32)
-        row_of_token = np.repeat(np.arange(len(row_ends) - 1), np.diff(word_ends[row_ends]))
-        out[np.arange(word_ends[-1]) + row_of_token] = flat[source]
-        return out, offsets
+    those of its words in order; each distinct word is encoded once."""
+    split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    row_ends = split.offsets.to_numpy().astype(np.int64)
+    coded = pc.dictionary_encode(split.values.slice(row_ends[0], row_ends[-1] - row_ends[0]))
+    row_ends = row_ends - row_ends[0]
+    flat, at, sizes = bpe.words(coded.dictionary)
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    n = sizes[code]
+    word_ends = np.concatenate([[0], np.cumsum(n)])
+    # token i of word j: flat[at[code[j]] + i]; each row gets one more id at its end
+    source = np.repeat(at[code] - word_ends[:-1], n) + np.arange(word_ends[-1])
+    offsets = word_ends[row_ends] + np.arange(len(row_ends))
+    out = np.full(offsets[-1], END_ID, dtype=np.int32)
+    inside = np.ones(len(out), dtype=bool)
+    inside[offsets[1:] - 1] = False
+    out[inside] = flat[source]
+    return out, offsets
 
 
 def tokenize(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, name: str = "tokens") -> DataFrame:
     """Table ``key, ids, _part, _start``: the ids of each document closed by id 2, and its place (the
     ids before it) in its partition.  Written once, so the order of the stream is settled with it."""
-    path = path or default_tokenizer()
+    # the vocabulary is of fixed size, so its broadcast is bounded
+    shared = docs.sparkSession.sparkContext.broadcast(WordBpe.load(path or default_tokenizer()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, total, part = WordTokenizer(path), 0, task_id()
+        bpe, total, part = shared.value, 0, task_id()
         for batch in batches:
-            for rows in row_slices(batch, "_text"):
-                ids, offsets = tokenizer.batch(rows.column("_text"))
+            for rows in row_slices(batch, "_text", TEXT_BYTES):
+                ids, offsets = encode_texts(bpe, rows.column("_text"))
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_pydict(
                     {key: rows.column(key), "ids": lists, "_part": pa.array(np.full(rows.num_rows, part, np.int32)), "_start": pa.array(offsets[:-1] + total)}
