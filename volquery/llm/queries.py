@@ -13,6 +13,7 @@ from .packing import pack
 from .privacy import replace_private
 from .quality_classifier import classify
 from .quality_rules import quality_rules
+from .repeats import repeated_passages
 from .secrets import secret_digest, secret_scan
 from .shared import cut, table
 from .simhash import near_duplicates
@@ -65,7 +66,11 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_simhash_dedup, op4_topk_search, op5_pii_surrogates, op6_mix_sources, op7_pack, op8_chat_format, op9_quality_classifier)
+    f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_simhash_dedup, op4_topk_search, op5_pii_surrogates, op6_mix_sources, op7_pack, op8_chat_format, op9_quality_classifier, op10_suffix_dedup)
 }
 ORACLES: dict[str, str] = {"op4_topk_search": TOPK_SQL}
