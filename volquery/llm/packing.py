@@ -59,10 +59,10 @@ def tokenize(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str
     """Table ``key, ids, _part, _start``: the ids of each document closed by id 2, and its place (the
     ids before it) in its partition.  Written once, so the order of the stream is settled with it."""
     # the vocabulary is of fixed size, so its broadcast is bounded
-    shared = docs.sparkSession.sparkContext.broadcast(WordBpe.load(path or default_tokenizer()))
+    shared = docs.sparkSession.sparkContext.broadcast(WordBpe.load(path or default_tokenizer()).tables())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, total, part = shared.value, 0, task_id()
+        bpe, total, part = WordBpe(*shared.value), 0, task_id()
         for batch in batches:
             for rows in row_slices(batch, "_text", TEXT_BYTES):
                 ids, offsets = encode_texts(bpe, rows.column("_text"))

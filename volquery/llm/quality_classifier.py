@@ -53,18 +53,18 @@ N_STATISTICS = 18
 assert N_CLASSES == 11
 
 
-def document_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, stats``: one array of N_STATISTICS floats for each row."""
+def document_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``key, *carry, stats``: one array of N_STATISTICS floats for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in row_slices(batch, "_text"):
                 flat = statistics(rows.column("_text")).ravel()
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(rows.num_rows + 1, dtype=np.int32) * N_STATISTICS), pa.array(flat))
-                yield pa.RecordBatch.from_pydict({key: rows.column(key), "stats": lists})
+                yield pa.RecordBatch.from_pydict({c: rows.column(c) for c in (key, *carry)} | {"stats": lists})
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, F.col(text).alias("_text")).mapInArrow(run, f"`{key}` {kind}, stats array<float>")
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (key, *carry))
+    return docs.select(key, *carry, F.col(text).alias("_text")).mapInArrow(run, f"{kinds}, stats array<float>")
 
 
 @dataclass
@@ -186,13 +186,13 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = THRESHOLD, name: str = "quality") -> DataFrame:
-    """``key, held_out, score, predicted``: one row per row of ``docs``.
+def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = THRESHOLD, carry: tuple[str, ...] = (), name: str = "quality") -> DataFrame:
+    """``key, *carry, held_out, score, predicted``: one row per row of ``docs``.
 
     ``score`` is the calibrated probability of label 1; ``predicted`` is 1 from ``threshold`` on.  Empty
     and null texts are scored as texts without words.  Labels that are null count as absent; several
     labels of a key count as their mean, 1 from a half on; repeated rows are scored each."""
-    stats = cut(document_statistics(docs, key, text), f"{name}-stats")
+    stats = cut(document_statistics(docs, key, text, carry), f"{name}-stats")
     train = labels.select(F.col(key).alias("_key"), F.col(label).alias("_label")).where("_label IS NOT NULL AND _key IS NOT NULL").where(~held_out(F.col("_key")))
     train = train.groupBy("_key").agg((F.avg("_label") >= 0.5).cast("int").alias("y"))
     fold = F.pmod(F.xxhash64("_key"), F.lit(FOLDS)).cast("int").alias("fold")
@@ -204,7 +204,7 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 score = model.score(_stack(part.column("stats"), N_STATISTICS))
-                yield pa.RecordBatch.from_pydict({key: part.column(key), "held_out": part.column("held_out"), "score": pa.array(score), "predicted": pa.array((score >= threshold).astype(np.int32))})
+                yield pa.RecordBatch.from_pydict({c: part.column(c) for c in (key, *carry, "held_out")} | {"score": pa.array(score), "predicted": pa.array((score >= threshold).astype(np.int32))})
 
-    kind = docs.schema[key].dataType.simpleString()
-    return stats.select(key, "stats", held_out(F.col(key)).alias("held_out")).mapInArrow(run, f"`{key}` {kind}, held_out boolean, score double, predicted int")
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (key, *carry))
+    return stats.select(key, *carry, "stats", held_out(F.col(key)).alias("held_out")).mapInArrow(run, f"{kinds}, held_out boolean, score double, predicted int")

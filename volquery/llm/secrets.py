@@ -102,6 +102,19 @@ def secret_scan(docs: DataFrame, key: str = "doc_id", owner: str = "source", rep
     return out.select(F.col("_key").alias(key), F.coalesce("spans", empty).alias("spans"))
 
 
+def redact(text: Column, found: Column) -> Column:
+    """``text`` with every span replaced; overlapping spans are replaced once, by the first one's mark."""
+    marks = F.create_map(F.lit("live"), F.lit("[SECRET]"), F.lit("shared"), F.lit("[SECRET]"), F.lit("copied"), F.lit("[EXAMPLE SECRET]"))
+
+    def step(acc: Column, s: Column) -> Column:
+        added = F.concat(acc["out"], F.substr(text, acc["end"] + 1, s["start"] - acc["end"]), F.element_at(marks, s["verdict"]))
+        fresh = s["start"] >= acc["end"]
+        return F.struct(F.when(fresh, added).otherwise(acc["out"]).alias("out"), F.greatest(acc["end"], s["stop"]).alias("end"))
+
+    done = F.aggregate(found, F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("end")), step)
+    return F.concat(done["out"], F.substr(text, done["end"] + 1))
+
+
 def span_text(spans_: Column) -> Column:
     """``kind:start:end``, comma-joined."""
     names = F.array(*[F.lit(k[0]) for k in KINDS])

@@ -69,8 +69,9 @@ class WordBpe:
                     ids[FIRST_MERGE + i] = vocab[token]
         return cls(path, ranks, ids)
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"engines": {}}
+    def tables(self) -> tuple[str, dict[bytes, int], np.ndarray]:
+        """What a worker needs to build its own (plain objects, as broadcasts are pickled by reference)."""
+        return self.path, self.ranks, self.id_of_rank
 
     def _engine(self, kind: str):
         if kind not in self.engines:
