@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from ..config import JobConfig
 from ..functions.grid import throughput_mb_s
+from ..functions.scalars import saturate
 from ..operators.metadata import image_metadata
 from ..operators.models import Model, load_model
 from ..operators.tensor import infer_chunks, to_chunks, to_voxels
-from ..operators.voxels import infer, plane_shape, pyramid, select_plane
-from ..sources.json_files import write_metrics
-from ..sources.volumes import open_volume, write_channels, write_pyramid
+from ..operators.voxels import downsample, infer, plane_shape, select_plane
+from ..sources.json_files import write_json, write_metrics
+from ..sources.volumes import open_volume, write_channels
 
 LOG = logging.getLogger(__name__)
 
@@ -36,8 +37,6 @@ def plan(spark: SparkSession, source: DataFrame, cfg: JobConfig, model: Model, d
     shape = shape or plane_shape(plane)
     if model.expression is not None:
         return infer(plane, cfg, model, shape, dtype), shape
-    from ..functions.scalars import saturate
-
     chunks = to_chunks(plane.withColumns({"t": F.lit(cfg.t_idx), "c": F.lit(cfg.c_idx)}), cfg.block)
     voxels = to_voxels(infer_chunks(chunks, cfg, model, shape), "v", ("channel",))
     return voxels.select("z", "y", "x", "channel", saturate(F.col("v"), dtype).alias("v")), shape
@@ -74,17 +73,10 @@ def build_pyramid(spark: SparkSession, store: str, root: str, name: str, factors
     base = spark.read.parquet(store)
     shape = (1, 1, *plane_shape(base))
     attributes = image_metadata(name, levels, factors, voxel, shape, chunk)
-    if levels > 1:
-        current, written = base, []
-        for level in range(1, levels):
-            step = pyramid(current, [factors[min(level - 1, len(factors) - 1)]], 2)[0]
-            step.write.mode("overwrite").parquet(f"{root}/{level}")
-            current = spark.read.parquet(f"{root}/{level}")
-            written.append(current)
-    from ..sources.json_files import write_json
-
+    current = base
+    for level in range(1, levels):
+        step = downsample(current, factors[min(level - 1, len(factors) - 1)])
+        step.write.mode("overwrite").parquet(f"{root}/{level}")
+        current = spark.read.parquet(f"{root}/{level}")
     write_json(spark, f"{root}/.zattrs", attributes)
     return attributes
-
-
-__all__ = ["JobResult", "build_pyramid", "plan", "run", "write_pyramid"]

@@ -29,9 +29,14 @@ def read_json(spark: SparkSession, path: str, key: str = "") -> Any:
         joined = path
     if not exists(spark, joined):
         raise FileNotFoundError(joined)
-    rows = spark.read.text(joined, wholetext=True).collect()  # one file, one row
+    jpath, fs = _file_system(spark, joined)  # Spark's readers skip names that begin with a dot
+    stream = fs.open(jpath)
     try:
-        return json.loads(rows[0][0] if rows else "")
+        content = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+    try:
+        return json.loads(content)
     except json.JSONDecodeError as error:
         raise ValueError(f"{joined} is not JSON: {error}") from error
 
