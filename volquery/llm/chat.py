@@ -39,8 +39,8 @@ def render_turn(role: Column, text: Column, level: int) -> Column:
 
 
 def parse(rendered: Column) -> Column:
-    """Array of ``struct(role, text, raw)`` read from a rendered conversation; null where it does not
-    follow the grammar.  ``raw`` is the text as written, escapes included."""
+    """Array of ``struct(role, text, raw, raw_role)`` read from a rendered conversation; null where it
+    does not follow the grammar.  ``raw`` and ``raw_role`` are as written, escapes included."""
     parts = F.split(rendered, "</s>", -1)
     turns = F.slice(parts, F.lit(1), F.size(parts) - 1)
 
@@ -50,10 +50,10 @@ def parse(rendered: Column) -> Column:
         at = F.instr(body, MIDDLE)
         raw = F.substr(body, at + len(MIDDLE))
         role = F.substr(body, F.lit(1), at - 1)
-        return F.struct(unescape(role).alias("role"), unescape(raw).alias("text"), raw.alias("raw"))
+        return F.struct(unescape(role).alias("role"), unescape(raw).alias("text"), raw.alias("raw"), role.alias("raw_role"))
 
     well_formed = (F.element_at(parts, -1) == "") & F.forall(turns, lambda p: p.startswith(OPEN) & (F.instr(F.substr(p, F.lit(len(OPEN) + 1)), MIDDLE) > 0))
-    return F.when(rendered == "", F.array().cast("array<struct<role:string,text:string,raw:string>>")).when(well_formed, F.transform(turns, turn))
+    return F.when(rendered == "", F.array().cast("array<struct<role:string,text:string,raw:string,raw_role:string>>")).when(well_formed, F.transform(turns, turn))
 
 
 def formatted_turns(rows: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
@@ -99,7 +99,7 @@ def format_chat(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role
     same = F.coalesce(pairs == back, F.lit(False))
     # a running end over the parsed turns: roles are measured as they are written
     start = F.aggregate(
-        F.transform("turns", lambda x: F.struct(x["role"].alias("role"), F.length(x["raw"]).alias("raw"), F.length(render_turn(x["role"], F.lit(""), 0)).alias("frame"))),
+        F.transform("turns", lambda x: F.struct(x["role"].alias("role"), F.length(x["raw"]).alias("raw"), F.length(render_turn(x["raw_role"], F.lit(""), 0)).alias("frame"))),
         F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,stop:int>>").alias("spans")),
         lambda acc, x: F.struct(
             (acc["end"] + x["frame"] + x["raw"]).alias("end"),
@@ -112,7 +112,8 @@ def format_chat(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role
 def chat_digest(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
     """Digests of what is read back from ``formatted``: turns by the parser, loss text by its spans."""
     listed = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    loss = unescape(F.array_join(F.transform("loss_spans", lambda s: F.substr(F.col("formatted"), s["start"] + 1, s["stop"] - s["start"])), ""))
+    # each span is unescaped by itself: the end of one and the start of the next may look like an escape
+    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substr(F.col("formatted"), s["start"] + 1, s["stop"] - s["start"]))), "")
     return formatted.select(
         conv, F.size("turns").cast("long").alias("n_turns"), F.sha2(listed, 256).alias("turns_sha256"),
         F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
