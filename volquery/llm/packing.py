@@ -23,7 +23,7 @@ from .word_bpe import WordBpe
 WINDOW = 4096
 END_ID = 2
 #: Text worked on at once; words are encoded once in it.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 4 << 20
 
 
 def default_tokenizer() -> str:
@@ -41,12 +41,16 @@ def encode_texts(bpe: WordBpe, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]
     row_ends = split.offsets.to_numpy().astype(np.int64)
     coded = pc.dictionary_encode(split.values.slice(row_ends[0], row_ends[-1] - row_ends[0]))
     row_ends = row_ends - row_ends[0]
+    del split
     flat, at, sizes = bpe.words(coded.dictionary)
     code = coded.indices.to_numpy(zero_copy_only=False)
-    n = sizes[code]
-    word_ends = np.concatenate([[0], np.cumsum(n)])
+    del coded
+    n = sizes.astype(np.int32)[code]
+    word_ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
     # token i of word j: flat[at[code[j]] + i]; each row gets one more id at its end
-    source = np.repeat(at[code] - word_ends[:-1], n) + np.arange(word_ends[-1])
+    source = np.repeat((at[code] - word_ends[:-1]).astype(np.int32), n)
+    del code, n
+    source += np.arange(len(source), dtype=np.int32)
     offsets = word_ends[row_ends] + np.arange(len(row_ends))
     out = np.full(offsets[-1], END_ID, dtype=np.int32)
     inside = np.ones(len(out), dtype=bool)
@@ -71,6 +75,8 @@ def tokenize(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str
                     {key: rows.column(key), "ids": lists, "_part": pa.array(np.full(rows.num_rows, part, np.int32)), "_start": pa.array(offsets[:-1] + total)}
                 )
                 total += int(offsets[-1])
+                del ids, lists
+                pa.default_memory_pool().release_unused()
 
     kind = docs.schema[key].dataType.simpleString()
     narrow = docs.select(key, F.col(text).alias("_text"))
@@ -121,4 +127,5 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int =
     schema = f"`{key}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
     joined = tokens.join(F.broadcast(offsets), "_part")
     placed = joined.select(key, "ids", (F.col("_start") + F.col("_at")).alias("_begin"))
-    return placed.mapInArrow(run, schema + (", ids array<int>" if keep_ids else ""))
+    pieces = placed.mapInArrow(run, schema + (", ids array<int>" if keep_ids else ""))
+    return pieces if keep_ids else cut(pieces, f"{name}-pieces")  # small, and made in small batches

@@ -69,9 +69,10 @@ class WordBpe:
                     ids[FIRST_MERGE + i] = vocab[token]
         return cls(path, ranks, ids)
 
-    def tables(self) -> tuple[str, dict[bytes, int], np.ndarray]:
-        """What a worker needs to build its own (plain objects, as broadcasts are pickled by reference)."""
-        return self.path, self.ranks, self.id_of_rank
+    def tables(self) -> tuple[str, dict[bytes, int], np.ndarray, dict]:
+        """What a worker needs to build its own: plain objects, as broadcasts are pickled by reference.
+        The last is empty; a worker keeps its engines there from task to task."""
+        return self.path, self.ranks, self.id_of_rank, {}
 
     def _engine(self, kind: str):
         if kind not in self.engines:
@@ -95,7 +96,7 @@ class WordBpe:
         if plain.any():
             engine, pieces = self._engine("plain")
             text = "\n".join(words.filter(pa.array(plain)).to_pylist()).lower() + "\n"
-            coded = np.asarray(engine.encode_to_numpy(pieces.sub(rf"\g<0>{MARK}", text), disallowed_special=()), dtype=np.int64)
+            coded = engine.encode_to_numpy(pieces.sub(rf"\g<0>{MARK}", text), disallowed_special=())
             ends = np.flatnonzero(coded == 10)  # the line breaks between words
             flat = self.id_of_rank[coded[coded != 10]]
             edges = np.concatenate([[0], ends - np.arange(len(ends))])
