@@ -119,3 +119,21 @@ def chat_digest(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
         F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"), "round_trip",
     )
+
+
+#: The digests of ``chat_digest`` for plain roles, with the lengths that escapes give.
+ORACLE_SQL = r"""
+WITH rows_ AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+written AS (
+  SELECT *, length(role) + CASE WHEN contains(text, '</s>') OR regexp_matches(text, '\\[012]')
+      THEN length(text) + len(regexp_extract_all(text, '\\[012]')) + len(regexp_extract_all(text, '</?s>')) + len(regexp_extract_all(text, '\[/?INST\]'))
+      ELSE length(text) END + length('<s>[INST] ') + length(' [/INST] ') + length('</s>') AS chars
+  FROM rows_),
+whole AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS listed,
+    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss, sum(chars)::BIGINT AS formatted_chars
+  FROM written GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(listed) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, true AS round_trip FROM whole
+"""

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import ORACLE_SQL as CHAT_SQL
 from .chat import chat_digest, format_chat
 from .mixing import mix, word_sizes
 from .packing import pack
@@ -73,4 +74,4 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_simhash_dedup, op4_topk_search, op5_pii_surrogates, op6_mix_sources, op7_pack, op8_chat_format, op9_quality_classifier, op10_suffix_dedup)
 }
-ORACLES: dict[str, str] = {"op4_topk_search": TOPK_SQL}
+ORACLES: dict[str, str] = {"op4_topk_search": TOPK_SQL, "op8_chat_format": CHAT_SQL}
