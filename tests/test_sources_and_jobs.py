@@ -130,3 +130,26 @@ def test_command_line(tmp_path):
     with pytest.raises(ValueError):
         config_from(parse_args([*base, "--clip-norm", "3"]))
     assert MODELS.names()
+
+
+def test_multi_head_job(spark, tmp_path, rows):
+    from volquery.plans.heads import parse_args as heads_args
+    from volquery.plans.heads import run_heads, sample_of
+
+    assert sample_of(spark, "s3://bucket/S7_processed_2024-01-01/image/0") == "S7_processed_2024-01-01"
+    root = tmp_path / "image"
+    write_volume(open_volume(spark, {"driver": "memory", "rows": rows}), str(root / "0"))
+    write_json(spark, str(root / ".zattrs"), metadata.image_metadata("in", 2, [(2, 2, 2)], (1.0, 0.5, 0.5), (1, 1, *SHAPE), (1, 1, 8, 8, 8)))
+    (tmp_path / "p").mkdir()
+    np.savez(tmp_path / "p" / "S7_processed_2024-01-01_percentiles.npz", combined_percentiles=np.array([[0.0, 70000.0]]))
+    job = heads_args(["--source", str(root / "0"), "--percentiles", str(tmp_path / "p"), "--output", str(tmp_path / "o"), "--heads", "soma", "axon", "--sample", "S7", "--patch", "6", "6", "6", "--overlap", "2", "--block", "8", "8", "8"])
+    model = shared_expression(lambda v: v, [lambda e: e, lambda e: 1.0 - e])
+    result, written = run_heads(spark, job, model)
+    assert result.shape == SHAPE and set(written) == {"soma", "axon"}
+    both = spark.read.parquet(str(tmp_path / "o" / "soma" / "0")).join(spark.read.parquet(str(tmp_path / "o" / "axon" / "0")).withColumnRenamed("v", "w"), ["z", "y", "x"])
+    assert both.where("abs(v + w - 1) > 1e-6").count() == 0 and both.count() == len(rows)
+    assert spark.read.parquet(str(tmp_path / "o" / "axon" / "1")).count() == 6 * 4 * 4
+    with pytest.raises(ValueError, match="names"):
+        run_heads(spark, job, MODELS.load("identity"))
+    with pytest.raises(ValueError, match="single plane"):
+        run_heads(spark, job, model, c_idx=1)
