@@ -7,6 +7,7 @@ leaves a boundary record (a piece) in each window.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -32,6 +33,12 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@functools.lru_cache(maxsize=2)
+def _tables(path: str) -> tuple:
+    """Tables of a tokenizer file, kept on the driver."""
+    return WordBpe.load(path).tables()
+
+
 def encode_texts(bpe: WordBpe, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts end to end, each closed by END_ID; the n + 1 offsets of the rows.
 
@@ -63,7 +70,7 @@ def tokenize(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str
     """Table ``key, ids, _part, _start``: the ids of each document closed by id 2, and its place (the
     ids before it) in its partition.  Written once, so the order of the stream is settled with it."""
     # the vocabulary is of fixed size, so its broadcast is bounded
-    shared = docs.sparkSession.sparkContext.broadcast(WordBpe.load(path or default_tokenizer()).tables())
+    shared = docs.sparkSession.sparkContext.broadcast(_tables(path or default_tokenizer()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, total, part = WordBpe(*shared.value), 0, task_id()

@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -188,7 +187,7 @@ def links(fps: DataFrame, chunk: int = CHUNK) -> DataFrame:
     # cells in which something can meet: two fingerprints at least, one of them at home
     active = cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("home").alias("any_home")).where("n > 1 AND any_home")
     active = cut(active.select("cell", "n"), "simhash-cells")
-    met = cells.join(active, "cell")
+    met = cells.join(active.hint("merge"), "cell")  # grows with the fingerprints: never broadcast
     chunks = F.ceil(F.col("n") / chunk).cast("int")
     met = met.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
