@@ -7,9 +7,6 @@ no surrogate equals a detected entity: clashes are found over the whole corpus a
 
 from __future__ import annotations
 
-import functools
-import operator
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -186,7 +183,3 @@ def replace_private(docs: DataFrame, secret: str = "volquery", key: str = "doc_i
     rest = rows.where(~F.coalesce(F.col("_text").rlike(ANY), F.lit(False)))
     untouched = rest.select(F.col("_key").alias(key), F.col("_text").alias(text), *[F.lit(0).cast("long").alias(f"n_{k}") for k, _ in KINDS])
     return changed.unionByName(untouched)
-
-
-def total_entities(frame: DataFrame) -> Column:
-    return functools.reduce(operator.add, [F.col(f"n_{k}") for k, _ in KINDS])

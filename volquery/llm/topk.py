@@ -125,14 +125,14 @@ def _search_block(k: int, key: str, block: pa.Table, queries: pa.Table) -> pa.Ta
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = TOP, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """``query_id, rank, key, distance``: the k nearest rows of each query row by Hamming distance, the
+    """``query_id, rank, key, distance`` for the rows where ``is_query`` (of the key) holds: the k nearest rows of each query row by Hamming distance, the
     query itself included; ties go to the smaller key.
 
     Rows are dealt to blocks of at most BLOCK codes and QUERY_BLOCK queries whatever their values, so
     equal vectors cannot crowd one task, and each block is indexed where it is searched.  Null vectors
     neither ask nor answer; null keys answer after all others; repeated rows are rows; with fewer than k
     rows all are returned; an empty table gives no rows."""
-    codes = sign_codes(vectors.where(F.lit(True)), key, vector)
+    codes = sign_codes(vectors, key, vector)
     codes = cut(codes.withColumn("_is_query", F.coalesce(is_query, F.lit(False))), "topk-codes")
     row = codes.agg(F.count("*").alias("n"), F.count_if("_is_query").alias("q")).first()
     tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
