@@ -100,7 +100,8 @@ def mix(sizes: DataFrame, key: str = "doc_id", weights: Sequence[float] = WEIGHT
     if not used).  Empty documents take nothing and have no position; they come last.  Repeated rows
     are mixed as rows of their own.  Reruns agree: the order is a hash of the key, then all columns."""
     targets = source_targets(sizes, weights, share, cap)
-    keyed = sizes.select(F.col(key).alias("_key"), "source", "size", F.xxhash64(F.lit(seed), F.col(key)).alias("_order"))
+    shuffled = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(key).cast("string")))
+    keyed = sizes.select(F.col(key).alias("_key"), "source", "size", shuffled.alias("_order"))
     order = [F.col("source").asc_nulls_last(), F.col("_order"), F.col("_key"), F.col("size")]
     placed = prefix_sums(keyed, order, ["size"], name)
     joined = placed.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
@@ -127,3 +128,35 @@ def mix(sizes: DataFrame, key: str = "doc_id", weights: Sequence[float] = WEIGHT
     n = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = [F.col("position").asc_nulls_last(), F.col(key)]
     return out.repartitionByRange(n, *by).sortWithinPartitions(*by)
+
+
+def _time_sql(fraction: str, schedule: Sequence[tuple[float, float]]) -> str:
+    """``invert_demand`` as SQL."""
+    areas = [(t1 - t0) * (w0 + w1) / 2 for (t0, w0), (t1, w1) in zip(schedule, schedule[1:])]
+    whole, used, cases = math.fsum(areas), 0.0, ""
+    for ((t0, w0), (t1, w1)), area in zip(zip(schedule, schedule[1:]), areas):
+        slope, left = (w1 - w0) / (t1 - t0), f"({fraction} * {whole!r}::DOUBLE - {used!r}::DOUBLE)"
+        root = f"sqrt(greatest(0.0, {w0 * w0!r}::DOUBLE + {2 * slope!r}::DOUBLE * {left}))"
+        cases += f" WHEN {fraction} < {(used + area) / whole!r}::DOUBLE THEN least({t1!r}::DOUBLE, {t0!r}::DOUBLE + 2.0::DOUBLE * {left} / ({w0!r}::DOUBLE + {root}))"
+        used += area
+    return f"CASE{cases} ELSE {schedule[-1][0]!r}::DOUBLE END"
+
+
+def _position_sql(use: int) -> str:
+    at = f"((start + {use} * source_size) / target)"
+    kinds = " ".join(f"WHEN {i} THEN {_time_sql(at, s)}" for i, s in enumerate(SCHEDULES))
+    return f"CASE WHEN use_{use} > 0 THEN round(CASE kind % {len(SCHEDULES)} {kinds} END, 9) END"
+
+
+#: The mix of ``documents`` with the default settings.
+ORACLE_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(concat_ws('-', '7', doc_id)) AS o FROM documents),
+src AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} AS kind FROM d GROUP BY source),
+w AS (SELECT *, [{", ".join(map(str, WEIGHTS))}][kind + 1]::DOUBLE AS weight FROM src),
+lv AS (SELECT 0.0::DOUBLE AS level, 0 AS n UNION ALL
+  SELECT coalesce((SELECT (1.5 * sum(source_size) - 2 * coalesce(sum(source_size) FILTER (weight * level >= 2 * source_size), 0)) / sum(weight) FILTER (weight * level < 2 * source_size) FROM w), level), n + 1 FROM lv WHERE n < 60),
+t AS (SELECT source, source_size, kind, least(weight * (SELECT max(level) FROM lv), 2.0 * source_size) AS target FROM w),
+s AS (SELECT d.*, source_size, kind, target, (sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+u AS (SELECT *, greatest(0, least(size, floor(target)::BIGINT - start)) AS use_0, greatest(0, least(size, floor(target)::BIGINT - start - source_size)) AS use_1 FROM s)
+SELECT doc_id, size, source_size, target, use_0 + use_1 AS taken, {_position_sql(0)} AS position, {_position_sql(1)} AS position_2 FROM u
+"""

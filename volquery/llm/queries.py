@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from .chat import ORACLE_SQL as CHAT_SQL
 from .chat import chat_digest, format_chat
+from .mixing import ORACLE_SQL as MIX_SQL
 from .mixing import mix, word_sizes
 from .packing import pack
 from .privacy import replace_private
 from .quality_classifier import classify
 from .quality_rules import quality_rules
 from .repeats import repeated_passages
+from .secrets import ORACLE_SQL as SECRETS_SQL
 from .secrets import secret_digest, secret_scan
 from .shared import cut, table
 from .simhash import near_duplicates
@@ -47,7 +49,7 @@ def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = cut(word_sizes(table(spark, sf_dir, "documents"), ["doc_id", "source"]), "mix-sizes")
-    return mix(sizes).select("doc_id", "size", "source_size", "target", "taken", "position", "position_2")
+    return mix(sizes).select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"), F.round("position_2", 9).alias("position_2"))
 
 
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +76,4 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_simhash_dedup, op4_topk_search, op5_pii_surrogates, op6_mix_sources, op7_pack, op8_chat_format, op9_quality_classifier, op10_suffix_dedup)
 }
-ORACLES: dict[str, str] = {"op4_topk_search": TOPK_SQL, "op8_chat_format": CHAT_SQL}
+ORACLES: dict[str, str] = {"op1_secret_scan": SECRETS_SQL, "op4_topk_search": TOPK_SQL, "op6_mix_sources": MIX_SQL, "op8_chat_format": CHAT_SQL}

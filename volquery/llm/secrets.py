@@ -134,3 +134,32 @@ def secret_digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
         key, count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"),
         count(3).alias("n_owned"), judged("live").alias("n_live"), judged("copied").alias("n_copied"),
     )
+
+
+def _hits_sql(kind: int) -> str:
+    pattern, group = KINDS[kind][1].replace("(?<![A-Za-z0-9_-])", "").replace("'", "''"), KINDS[kind][2]
+    return f"""SELECT r, owner, repo, {kind} AS kind, regexp_extract_all(text, '{pattern}', 0) AS hits, regexp_extract_all(text, '{pattern}', {group}) AS vals,
+    list_transform(regexp_split_to_array(text, '{pattern}'), lambda x: length(x)) AS gaps FROM d"""
+
+
+#: The digests of ``secret_digest``.  A run of 20 or more begins where it can, so the look-behind (which SQL's
+#: patterns lack) changes nothing.
+ORACLE_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, source AS owner, [source, lang] AS repo FROM documents),
+found AS ({" UNION ALL ".join(_hits_sql(k) for k in range(len(KINDS)))}),
+each AS (SELECT r, owner, repo, kind, i, hits[i] AS hit, vals[i] AS val,
+    (list_sum(gaps[1:i]) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0))::BIGINT AS lo
+  FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM found)),
+fit AS (SELECT r, owner, repo, kind, lo, lo + length(hit) AS hi, sha256(val) AS hash,
+    regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Za-z]') AND len(list_distinct(string_split(val, ''))) >= {MIN_DISTINCT_CHARS} AND NOT regexp_matches(val, '{PLACEHOLDER}') AS live
+  FROM each WHERE length(val) >= CASE kind {" ".join(f"WHEN {i} THEN {k[3]}" for i, k in enumerate(KINDS))} END),
+known AS (SELECT * FROM fit WHERE kind < {BASE_KINDS} OR live),
+owners AS (SELECT hash, count(DISTINCT coalesce(owner, chr(0))) AS n FROM known GROUP BY hash),
+judged AS (SELECT k.*, CASE WHEN n >= {WIDE_OWNERS} THEN 'copied' WHEN n = 1 AND live THEN 'live' ELSE 'shared' END AS verdict FROM known k JOIN owners USING (hash)),
+kept AS (SELECT * FROM judged j WHERE kind < {BASE_KINDS} OR verdict = 'live' AND NOT EXISTS (FROM judged b WHERE b.r = j.r AND b.kind < {BASE_KINDS} AND b.lo < j.hi AND b.hi > j.lo)),
+named AS (SELECT *, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || lo || ':' || hi AS span FROM kept)
+SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  sha256(coalesce(string_agg(span, ',' ORDER BY lo, kind) FILTER (kind < {BASE_KINDS}), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY lo, kind), '') AS spans,
+  count(*) FILTER (kind = 3) AS n_owned, count(*) FILTER (verdict = 'live') AS n_live, count(*) FILTER (verdict = 'copied') AS n_copied
+FROM d LEFT JOIN named USING (r) GROUP BY r, doc_id
+"""
