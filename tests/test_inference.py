@@ -128,7 +128,7 @@ def test_identity_gives_the_input_back(voxels, volume, more):
 def test_winner_per_axis_equals_winner_by_order(voxels):
     cfg, model, plane = make(), MODELS.load("patch-demean"), select_plane(voxels, 0, 0)
     a, b = (dense(infer(plane, cfg, model, form=form)) for form in ("separable", "max_by"))
-    np.testing.assert_array_equal(a, b)
+    np.testing.assert_allclose(a, b, rtol=1e-12)  # patch sums add up in any order
 
 
 def test_pointwise_rewrite_equals_the_full_plan(voxels):

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..config import JobConfig
 from ..functions.grid import axis_blocks, axis_cover, axis_starts
@@ -44,14 +46,20 @@ def axes_of(cfg: JobConfig, shape: tuple[int, int, int]) -> list[Axis]:
     return [Axis(n, e, b, p, cfg.overlap, cfg.halo, trim or 0, cfg.min_blend_weight) for n, e, b, p in zip(AXES, shape, cfg.block, cfg.patch)]
 
 
+def local_frame(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """Rows that become part of the plan itself, handed over in one Arrow table."""
+    kinds = to_arrow_schema(schema)
+    columns = [pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(kinds)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=kinds), schema)
+
+
 def cover_frame(spark: SparkSession, axis: Axis) -> DataFrame:
     """``g_a, k_a, s_a, j_a, w_a, keep_a, core_a, win_a`` for axis ``a``."""
     n = axis.name
     schema = T.StructType(
         [T.StructField(f"g_{n}", T.LongType()), *[T.StructField(f"{c}_{n}", T.IntegerType()) for c in "ksj"], T.StructField(f"w_{n}", T.DoubleType()), *[T.StructField(f"{c}_{n}", T.BooleanType()) for c in ("keep", "core", "win")]]
     )
-    rows = axis_cover(axis.extent, axis.block, axis.patch, axis.overlap, axis.halo, axis.trim, axis.floor)
-    return spark.createDataFrame(rows, schema)
+    return local_frame(spark, axis_cover(axis.extent, axis.block, axis.patch, axis.overlap, axis.halo, axis.trim, axis.floor), schema)
 
 
 def halo_frame(spark: SparkSession, axis: Axis) -> DataFrame:
@@ -59,7 +67,7 @@ def halo_frame(spark: SparkSession, axis: Axis) -> DataFrame:
     n = axis.name
     rows = [(g, b.k, b.core.start <= g < b.core.stop) for b in axis_blocks(axis.extent, axis.block, axis.halo) for g in range(*b.wide)]
     schema = T.StructType([T.StructField(f"g_{n}", T.LongType()), T.StructField(f"k_{n}", T.IntegerType()), T.StructField(f"core_{n}", T.BooleanType())])
-    return spark.createDataFrame(rows, schema)
+    return local_frame(spark, rows, schema)
 
 
 def _blocks_of(g: Column, axis: Axis) -> Column:
