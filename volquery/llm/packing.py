@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import cut, row_slices, small_frame, task_id
+from ..operators.cover import local_frame
+from .shared import cut, row_slices, task_id
 from .word_bpe import WordBpe
 
 WINDOW = 4096
@@ -103,7 +104,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int =
     for row in totals:
         rows.append((row["_part"], at))
         at += row["n"]
-    offsets = small_frame(spark, rows, T.StructType([T.StructField("_part", T.IntegerType()), T.StructField("_at", T.LongType())]))
+    offsets = local_frame(spark, rows, T.StructType([T.StructField("_part", T.IntegerType()), T.StructField("_at", T.LongType())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

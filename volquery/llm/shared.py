@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.cover import local_frame
+
 #: The white space of the word definition used throughout: [^\x20\x09-\x0D]+
 SPACE_BYTES = bytes([0x20, *range(0x09, 0x0E)])
 IS_SPACE = np.zeros(256, dtype=bool)
@@ -152,16 +154,8 @@ def prefix_sums(df: DataFrame, order: list[str | Column], values: list[str], nam
         for v in values:
             totals[v] += row[v] or 0
     offsets = T.StructType([T.StructField("_part", T.IntegerType()), *[T.StructField(f"_at_{v}", T.LongType()) for v in values]])
-    at = small_frame(spark, rows, offsets)
+    at = local_frame(spark, rows, offsets)
     # one row per partition of the range exchange: bounded by its partition count
     joined = local.join(F.broadcast(at), "_part")
     return joined.select(*[f.name for f in fields], *[(F.col(f"before_{v}") + F.col(f"_at_{v}")).alias(f"before_{v}") for v in values])
 
-
-def small_frame(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
-    """A frame held in the plan itself (no Python workers)."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(schema)
-    columns = [pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(arrow)]
-    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), schema)
