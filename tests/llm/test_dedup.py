@@ -10,7 +10,7 @@ import xxhash
 from volquery.llm.components import connected_components
 from volquery.llm.repeats import repeated_passages
 from volquery.llm.run_length_index import RunLengthIndex, repeated_starts
-from volquery.llm.simhash import _cross, _forest, fingerprint_bytes, fingerprints, links, near_duplicates
+from volquery.llm.simhash import _cross, _forest, fingerprint_bytes, links, near_duplicates
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -109,7 +109,7 @@ def slow_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("settings", [{"length": 60, "gram": 20}, {"length": 40, "gram": 16, "hot": 2, "chunk": 900}, {}])
+@pytest.mark.parametrize("settings", [{"length": 60, "gram": 20}, {"length": 40, "gram": 16, "hot": 2, "chunk": 900}, {"length": 40, "gram": 16, "chunk": 300, "wide": 100}, {}])
 def test_repeats_match_all_windows(nasty, settings):
     rows = nasty.collect()
     want = collections.Counter((r.doc_id, *x) for r, x in zip(rows, slow_repeats([r.text for r in rows], settings.get("length", 400))))

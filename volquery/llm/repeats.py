@@ -26,9 +26,14 @@ GRAM = 128
 BLOCK, PIECE = 1 << 18, 1 << 15
 #: Occurrences from which a key is split further, by the least hashes in other orders.
 HOT = 1 << 14
-#: Bytes of distinct pieces of one key that are indexed together; larger keys are split in chunks and
-#: all pairs of chunks are indexed.
-CHUNK = 1 << 20
+#: Bytes of distinct pieces of one key in a chunk; larger keys are split in chunks and all pairs of chunks
+#: are indexed, so the windows of one key never meet in one task.
+CHUNK = 1 << 17
+#: Bytes of distinct pieces of one key from which pairs of chunks cost more than counting its windows one
+#: by one, which is as exact and grows with the bytes only.
+WIDE = 1 << 22
+#: Bytes of small groups that share an index.
+INDEX = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -196,7 +201,7 @@ def chosen_pieces(chosen: DataFrame, length: int) -> DataFrame:
                 data = [raw[a : a + n + length - 1] for a, n in zip(listed.column("start").to_pylist(), listed.column("n").to_pylist())]
                 held.append(pa.RecordBatch.from_pydict({c: listed.column(c) for c in ("key", "piece", "chunk", "chunks")} | {"bytes": pa.array(data, pa.binary())}))
                 size += sum(map(len, data))
-                if size > CHUNK:
+                if size > INDEX:
                     yield from pa.Table.from_batches(held).combine_chunks().to_batches()
                     held, size = [], 0
         if held:
@@ -232,7 +237,7 @@ def index_groups(groups: DataFrame, length: int) -> DataFrame:
             lengths = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column("bytes")).to_numpy().astype(np.int64))])
             for a, b in zip(edges[:-1], edges[1:]):
                 group = tuple(keys[:, a])
-                if group != last and size >= CHUNK:
+                if group != last and size >= INDEX:
                     yield solve(pa.Table.from_batches(held))
                     held, size = [], 0
                 held.append(batch.slice(int(a), int(b - a)))
@@ -243,6 +248,24 @@ def index_groups(groups: DataFrame, length: int) -> DataFrame:
     return groups.mapInArrow(run, "key bigint, piece binary, lo bigint, hi bigint")
 
 
+def counted_windows(pieces: DataFrame, length: int) -> DataFrame:
+    """``key, piece, lo, hi`` as from the index, by counting the windows of all pieces in a shuffle; equal
+    windows are combined before it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                raw = batch.column("bytes")[row].as_py()
+                n = len(raw) - length + 1
+                at = pa.array(np.full(n, row))
+                windows = [hashlib.md5(raw[i : i + length], usedforsecurity=False).digest() for i in range(n)]
+                yield pa.RecordBatch.from_pydict({"key": batch.column("key").take(at), "piece": batch.column("piece").take(at), "lo": pa.array(np.arange(n)), "_window": pa.array(windows, pa.binary())})
+
+    windows = cut(pieces.select("key", "piece", "bytes").mapInArrow(run, "key bigint, piece binary, lo bigint, _window binary"), "repeats-windows")
+    often = cut(windows.groupBy("_window").agg(F.count("*").alias("n")).where("n > 1").select("_window"), "repeats-often")
+    return windows.join(often, "_window").select("key", "piece", "lo", (F.col("lo") + 1).alias("hi"))
+
+
 def cut_out(marked: DataFrame, length: int) -> DataFrame:
     """``_id, n_removed, n_spans, _kept, text``: bytes that no marked window covers."""
 
@@ -264,7 +287,7 @@ def cut_out(marked: DataFrame, length: int) -> DataFrame:
     return marked.mapInArrow(run, "_id binary, n_removed bigint, n_spans bigint, _kept binary")
 
 
-def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, chunk: int = CHUNK) -> DataFrame:
+def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, chunk: int = CHUNK, wide: int = WIDE) -> DataFrame:
     """``key, n_bytes, n_removed, n_spans, kept_sha256``: one row per input row.
 
     Texts that occur twice are repeated as a whole (from ``length`` bytes on) and take part once.  A null
@@ -290,15 +313,19 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     alone = F.col("k").isNull() & (F.col("uses") == 1) & F.col("twice")
     joined = pieces.join(sizes, "key", "left")
     chosen = joined.where(F.col("k").isNotNull() | alone)
-    chunks = F.coalesce(F.ceil(F.col("bytes") / chunk), F.lit(1)).cast("int")
-    chosen = chosen.select("_id", F.struct("key", "piece", "start", "n", F.pmod(F.xxhash64("piece"), chunks).cast("int").alias("chunk"), chunks.alias("chunks")).alias("p"))
+    # no chunks: the key's windows are counted
+    chunks = F.when(F.col("bytes") > wide, 0).otherwise(F.coalesce(F.ceil(F.col("bytes") / chunk), F.lit(1))).cast("int")
+    chunk_of = F.pmod(F.xxhash64("piece"), F.greatest(chunks, F.lit(1))).cast("int")
+    chosen = chosen.select("_id", F.struct("key", "piece", "start", "n", chunk_of.alias("chunk"), chunks.alias("chunks")).alias("p"))
     by_text = cut(chosen.groupBy("_id").agg(F.collect_list("p").alias("_list")), "repeats-chosen")  # of one text
     parts = chosen_pieces(suspects.select("_id", "_text").join(by_text, "_id").select("_text", "_list"), length)
-    grouped = parts.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    grouped = parts.where("chunks > 0").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     grouped = grouped.select("key", F.least("chunk", "o").alias("ci"), F.greatest("chunk", "o").alias("cj"), "piece", "bytes")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     grouped = grouped.repartition(n, "key", "ci", "cj").sortWithinPartitions("key", "ci", "cj")
     marks = index_groups(grouped, length).unionByName(pieces.where("uses > 1").select("key", "piece", F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi")))
+    if not sizes.where(F.col("bytes") > wide).isEmpty():
+        marks = marks.unionByName(counted_windows(parts.where("chunks = 0"), length))
     marks = cut(marks, "repeats-marks")
 
     single = texts.where("copies = 1").select("_id")
