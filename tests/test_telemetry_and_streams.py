@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from volquery.functions.scalars import decoder_weights, saturate
 from volquery.operators import telemetry
-from volquery.streaming.completeness import PREDICTION_SCHEMA, read_predictions, run_to_end, stitch_when_complete, windowed_series
+from volquery.streaming.completeness import PREDICTION_SCHEMA, read_predictions, run_to_end, sample_stream, stitch_when_complete
 
 
 def series(spark, values, name="a"):
@@ -77,6 +77,12 @@ def test_blocks_leave_when_complete(spark, tmp_path):
     assert got == sorted((b, c, v, 4) for b in range(12) if b != 7 for c, v in enumerate([b * 100 + 4.0, 4.0, 1.0]))
 
 
-def test_windowed_series(spark):
-    frame = spark.sql("SELECT timestamp'2024-01-01 00:00:03' AS ts, 'a' AS series, 2.0 AS value UNION ALL SELECT timestamp'2024-01-01 00:00:09', 'a', 4.0 UNION ALL SELECT timestamp'2024-01-01 00:00:10', 'a', 9.0")
-    assert sorted(float(r["mean"]) for r in windowed_series(frame).collect()) == [3.0, 9.0]
+
+def test_sample_clock(spark, tmp_path):
+    query = sample_stream(spark, 50).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "o")).trigger(processingTime="200 milliseconds").start()
+    try:
+        query.awaitTermination(4)
+    finally:
+        query.stop()
+    rows = spark.read.schema("ts timestamp, n long").parquet(str(tmp_path / "o")).collect()
+    assert sorted(r.n for r in rows) == list(range(len(rows))) and len(rows) > 10

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import JobConfig
-from ..functions.scalars import base_sample, downscale_factor, hex_color, is_cuda, sample_id, saturate, sigmoid
+from ..functions.scalars import base_sample, decoder_weights, downscale_factor, hex_color, is_cuda, sample_id, saturate, sigmoid
 from ..operators import telemetry, tiling
 from ..operators.cover import axes_of, cover_frame
 from ..operators.metadata import origins, scales
@@ -350,6 +350,13 @@ def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("voxels", F.round(F.col("voxels") * 2 / F.lit(1e6) / F.lit(2.5), 9).alias("mb_per_second"))
 
 
+@query(f"SELECT z, y, x, p::FLOAT::DOUBLE AS p FROM ({oracle.VOLUMES['ragged']})")
+def chunk_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voxel rows to chunks that fit nothing, and back; chunks hold single precision."""
+    chunks = to_chunks(plane(spark, sf_dir, "ragged").withColumns({"t": F.lit(0), "c": F.lit(0)}), (7, 5, 6))
+    return tidy(to_voxels(chunks).select("z", "y", "x", F.col("p").cast("double").alias("p")))
+
+
 # --- lookups, names, pyramids and metadata ----------------------------------------------------------
 
 _SAMPLES = "SELECT n_name || CASE WHEN n_nationkey % 3 = 0 THEN '_processed_2024-0' || (n_nationkey % 9 + 1)::VARCHAR || '-15_run' ELSE '' END AS sample_id, c::INTEGER AS channel, (n_nationkey + c)::DOUBLE AS p_low, (n_nationkey * 10 + 50 + c)::DOUBLE AS p_high FROM nation, range(0, 2) t(c)"
@@ -384,6 +391,17 @@ def name_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(n.select(F.col("n_name").alias("name"), sample.alias("sample"), base_sample(sample).alias("base"), hex_color(k * 4097).alias("color"), downscale_factor(k / 4.0).alias("factor"), is_cuda(device).alias("cuda")))
 
 
+@query("SELECT n_name AS name, n_nationkey::BIGINT AS w, CASE WHEN n_nationkey % 2 = 0 THEN 'model' ELSE 'plain' END AS kept FROM nation")
+def decoder_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights under the decoder's prefix, the longer prefix first, with the prefix removed."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    k = F.col("n_nationkey")
+    plain = F.create_map(F.concat(F.lit("decoder."), "n_name"), F.struct(k.alias("w"), F.lit("plain").alias("kept")), F.lit("encoder.x"), F.struct(F.lit(-1).alias("w"), F.lit("no").alias("kept")))
+    model = F.create_map(F.concat(F.lit("model.decoder."), "n_name"), F.struct(k.alias("w"), F.lit("model").alias("kept")))
+    state = F.when(k % 2 == 0, F.map_concat(plain, model)).otherwise(plain)
+    return tidy(n.select(F.explode(decoder_weights(state)).alias("name", "v")).select("name", "v.w", "v.kept"))
+
+
 def _pyramid_sql(levels: int) -> str:
     out = f"WITH l0 AS (SELECT z, y, x, p AS v FROM ({oracle.VOLUMES['events']}))"
     for i in range(1, levels):
@@ -454,6 +472,12 @@ def io_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.select("event_id", "series", F.round("mib_s", 6).alias("mib_s"))
 
 
+@query(f"SELECT event_id, round(value * 100 / 8, 9) AS percent FROM ({_TS})")
+def cpu_per_core(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percent of one core to percent of the machine."""
+    return fixtures.event_samples(spark, sf_dir).select("event_id", F.round(telemetry.cpu_per_core(F.col("value") * 100, 8), 9).alias("percent"))
+
+
 @query(f"SELECT event_id, round((epoch_us(ts) - min(epoch_us(ts)) OVER ()) / 1e6, 6) AS t FROM ({_TS})")
 def relative_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.relative_time(fixtures.event_samples(spark, sf_dir)).select("event_id", F.round("t", 6).alias("t"))

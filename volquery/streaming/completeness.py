@@ -65,7 +65,3 @@ def sample_stream(spark: SparkSession, rows_per_second: int = 2) -> DataFrame:
     """A clock of samples: ``t`` (seconds since the first), ``n``."""
     return spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load().select(F.col("timestamp").alias("ts"), F.col("value").alias("n"))
 
-
-def windowed_series(samples: DataFrame, width: str = "10 seconds", late: str = "1 minute") -> DataFrame:
-    """Mean and peak of each series over tumbling windows; samples later than ``late`` are dropped."""
-    return samples.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "series").agg(F.avg("value").alias("mean"), F.max("value").alias("peak"), F.count("*").alias("n"))
