@@ -140,9 +140,9 @@ def writer_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grid(spark, sf_dir, G2).groupBy(tiling.shard(F.col("k"), 3).alias("shard")).agg(F.count("*").alias("blocks"), F.min("k").alias("first_block"))
 
 
-@query(_grid_sql(G2).replace("SELECT (bz.k", "SELECT k, start_z, start_y, start_x FROM (SELECT (bz.k") + ") WHERE k % 4 = 1")
+@query(_grid_sql(G2).replace("SELECT (bz.k", "SELECT k % 4 AS worker, k, start_z, start_y, start_x FROM (SELECT (bz.k") + ")")
 def prep_stride(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _grid(spark, sf_dir, G2).where(tiling.shard(F.col("k"), 4) == 1).select("k", "start_z", "start_y", "start_x")
+    return _grid(spark, sf_dir, G2).select(tiling.shard(F.col("k"), 4).alias("worker"), "k", "start_z", "start_y", "start_x")
 
 
 def _axis_rows(spark: SparkSession, sf_dir: str, g: dict, **more) -> DataFrame:
@@ -246,7 +246,7 @@ def stitch_trim_separable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_seam_sql("ragged", G3, "demean", oracle.TRIM))
 def stitch_trim_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _seams(infer(plane(spark, sf_dir, "ragged"), config(G3), MODELS.load("patch-demean"), shape=(23, 19, 13)))
+    return _seams(infer(plane(spark, sf_dir, "ragged"), config(G3), MODELS.load("patch-demean")))
 
 
 @query(_seam_sql("events", G2, "demean", oracle.blend(1e-6)))
@@ -444,6 +444,8 @@ def pyramid_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- telemetry ---------------------------------------------------------------------------------------
 
+#: Samples that a monitor keeps of each series.
+RING = 10_000
 _TS = "SELECT event_id, ts, event_type AS series, user_id AS device, value FROM events"
 
 
@@ -483,9 +485,9 @@ def relative_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.relative_time(fixtures.event_samples(spark, sf_dir)).select("event_id", F.round("t", 6).alias("t"))
 
 
-@query(f"SELECT series, list(event_id ORDER BY event_id) AS times, list(value ORDER BY event_id) AS values FROM ({_TS} WHERE event_id < 500) GROUP BY series")
+@query(f"SELECT series, list(event_id ORDER BY event_id) AS times, list(value ORDER BY event_id) AS values FROM (FROM ({_TS}) QUALIFY row_number() OVER (PARTITION BY series ORDER BY event_id DESC) <= {RING}) GROUP BY series")
 def series_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = fixtures.event_samples(spark, sf_dir).where("event_id < 500")  # a snapshot is a bounded ring buffer
+    samples = telemetry.keep_last(fixtures.event_samples(spark, sf_dir), RING, order=("event_id",))  # a snapshot is a ring buffer
     return telemetry.series_pivot(samples, at="event_id")
 
 
@@ -535,15 +537,17 @@ def idle_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streaming --------------------------------------------------------------------------------------
 
 
-@query(f"SELECT z AS block, 5::BIGINT AS patches, (y * 10 + x)::BIGINT AS cell, round(p + 5, 6) AS value FROM ({oracle.VOLUMES['events']}) WHERE z < 40")
+@query(f"SELECT z AS block, 5::BIGINT AS patches, (y * 10 + x)::BIGINT AS cell, round(p + 5, 6) AS value FROM ({oracle.VOLUMES['events']})")
 def stream_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five patches for each of the first planes, each adding its number, streamed out of order."""
-    voxels = plane(spark, sf_dir, "events").where("z < 40")
+    """Five patches for each plane, each adding its number, streamed out of order."""
+    voxels = plane(spark, sf_dir, "events")
     cells = voxels.groupBy("z").agg(F.sort_array(F.collect_list(F.struct((F.col("y") * 10 + F.col("x")).alias("cell"), "p"))).alias("v"))
     rows = cells.select(F.col("z").alias("block"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("patch"), "v")
     rows = rows.select("block", F.col("patch").cast("long").alias("patch"), F.lit(5).cast("long").alias("total"), F.transform("v", lambda s: s["cell"]).alias("cell"), F.transform("v", lambda s: s["p"] + F.col("patch")).alias("value"))
     base = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/volquery-stream"
     root = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     rows.orderBy(F.xxhash64("block", "patch")).repartition(3).write.parquet(f"{root}/in")
     run_to_end(stitch_when_complete(read_predictions(spark, f"{root}/in")), f"{root}/state", f"{root}/out")
     return spark.read.parquet(f"{root}/out").select("block", "patches", "cell", F.round("value", 6).alias("value"))

@@ -8,14 +8,14 @@ VOLUMES = {
     "vectors": "SELECT vec_id AS z, ((i - 1) // 8)::BIGINT AS y, ((i - 1) % 8)::BIGINT AS x, embedding[i]::DOUBLE AS p FROM embeddings, range(1, 65) t(i)",
     "sizes": "SELECT p_partkey // 100 AS z, (p_partkey // 10) % 10 AS y, p_partkey % 10 AS x, p_size::DOUBLE AS p FROM part",
     "prices": "SELECT p_partkey // 100 AS z, (p_partkey // 10) % 10 AS y, p_partkey % 10 AS x, p_retailprice AS p FROM part",
-    "ragged": "SELECT event_id // 247 AS z, (event_id // 13) % 19 AS y, event_id % 13 AS x, value AS p FROM events WHERE event_id < 5681",
+    "ragged": "SELECT event_id // 40 AS z, (event_id // 5) % 8 AS y, event_id % 5 AS x, value AS p FROM events",
 }
 EXTENTS = {
     "events": ("(SELECT max(event_id) // 100 + 1 FROM events)", "10", "10"),
     "vectors": ("(SELECT max(vec_id) + 1 FROM embeddings)", "8", "8"),
     "sizes": ("(SELECT max(p_partkey) // 100 + 1 FROM part)", "10", "10"),
     "prices": ("(SELECT max(p_partkey) // 100 + 1 FROM part)", "10", "10"),
-    "ragged": ("23", "19", "13"),
+    "ragged": ("(SELECT max(event_id) // 40 + 1 FROM events)", "8", "5"),
 }
 
 

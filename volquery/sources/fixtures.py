@@ -30,12 +30,10 @@ def parts_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.lit(0).alias("t"), *at, both)
 
 
-def ragged_volume(spark: SparkSession, sf_dir: str, shape: tuple[int, int, int] = (23, 19, 13)) -> DataFrame:
-    """The first events as a volume whose sides divide nothing."""
-    n = shape[0] * shape[1] * shape[2]
-    e = _table(spark, sf_dir, "events").where(F.col("event_id") < n)
-    plane = shape[1] * shape[2]
-    return e.select(F.lit(0).alias("t"), F.lit(0).alias("c"), F.expr(f"event_id div {plane}").alias("z"), F.expr(f"(event_id div {shape[2]}) % {shape[1]}").alias("y"), F.expr(f"event_id % {shape[2]}").alias("x"), F.col("value").alias("p"))
+def ragged_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40 events to a z plane of 8 x 5: narrower than a patch, and no whole number of blocks deep."""
+    e = _table(spark, sf_dir, "events")
+    return e.select(F.lit(0).alias("t"), F.lit(0).alias("c"), F.expr("event_id div 40").alias("z"), F.expr("(event_id div 5) % 8").alias("y"), F.expr("event_id % 5").alias("x"), F.col("value").alias("p"))
 
 
 def event_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
