@@ -18,7 +18,7 @@ def suffix_order(text: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarr
         key = (key << np.uint64(9)) | padded[i : i + n]
     levels, depth = [], 7
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal keys may come in any order: they share a rank
         ordered = key[order]
         change = np.empty(n, dtype=np.int64)
         change[0] = 0
