@@ -136,3 +136,20 @@ def test_run_length_index():
         count = collections.Counter(p[i : i + length] for p in pieces for i in range(len(p) - length + 1))
         got = repeated_starts([np.frombuffer(p, np.uint8) for p in pieces], length)
         assert [g.tolist() for g in got] == [[count[p[i : i + length]] > 1 for i in range(len(p) - length + 1)] for p in pieces]
+
+
+def test_chunks_of_one_key_stand_once_in_an_index(spark):
+    # one gram in hundreds of distinct texts: the key is dealt as pairs of chunks, which all meet in one task
+    rng = random.Random(8)
+    words = [bytes(rng.choice(b"abcdefghijklmnop") for _ in range(40)).decode() for _ in range(300)]
+    shared = "a passage longer than a gram and shorter than a window"
+    rows = [(i, w + shared + w[::-1]) for i, w in enumerate(words)]
+    rows += [(300 + i, w + shared + w[::-1] + str(i)) for i, w in enumerate(words[:20])]
+    want = collections.Counter((i, *x) for (i, _), x in zip(rows, slow_repeats([t for _, t in rows], 60)))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = collections.Counter(tuple(r) for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), length=60, gram=20, chunk=2000).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == want

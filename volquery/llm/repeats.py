@@ -212,7 +212,8 @@ def chosen_pieces(chosen: DataFrame, length: int) -> DataFrame:
 
 def index_groups(groups: DataFrame, length: int) -> DataFrame:
     """``key, piece, lo, hi``: intervals of repeated windows.  Rows come sorted by (key, ci, cj); whole
-    groups are put together until they fill an index, as windows of different keys never match."""
+    groups are put together until they fill an index, as windows of different keys never match.  Groups of
+    one key share chunks, so they never share an index: each piece stands in it once."""
     names = ("key", "ci", "cj")
 
     def solve(table: pa.Table) -> pa.RecordBatch:
@@ -237,7 +238,7 @@ def index_groups(groups: DataFrame, length: int) -> DataFrame:
             lengths = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column("bytes")).to_numpy().astype(np.int64))])
             for a, b in zip(edges[:-1], edges[1:]):
                 group = tuple(keys[:, a])
-                if group != last and size >= INDEX:
+                if held and group != last and (size >= INDEX or group[0] == last[0]):
                     yield solve(pa.Table.from_batches(held))
                     held, size = [], 0
                 held.append(batch.slice(int(a), int(b - a)))
