@@ -104,3 +104,38 @@ def test_search_query_matches_its_sql(spark):
     want = con.sql(queries.ORACLES["op4_topk_search"]).fetchall()
     got = queries.QUERIES["op4_topk_search"](spark, SF).select("query_id", "rank", "vec_id", "distance").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_near_copies_at_five_words_and_similarity_go(spark, folder):
+    import random
+
+    from conftest import prose
+
+    rng = random.Random(11)
+    rows = []
+    boiler = prose(rng, 60)
+    for _ in range(60):
+        words = prose(rng, rng.randint(20, 120)).split()
+        rows.append(" ".join(words) + (" " + boiler if rng.random() < 0.4 else ""))
+        for _ in range(rng.randint(0, 3)):  # copies with some words changed, near and far
+            copy = rows[-1].split()
+            for _ in range(rng.randint(1, 6)):
+                copy[rng.randrange(len(copy))] = "changed" + str(rng.randrange(1000))
+            rows.append(" ".join(copy))
+    base = prose(rng, 200).split()  # a group in which each is a copy of the one before
+    for i in range(12):
+        base[i * 16] = f"step{i}"
+        rows.append(" ".join(base))
+    rng.shuffle(rows)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, rows)]
+    smallest, moved = list(range(len(rows))), True
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    while moved:
+        moved = False
+        for i, j in near:
+            if smallest[i] != smallest[j]:
+                smallest[i] = smallest[j] = min(smallest[i], smallest[j])
+                moved = True
+    docs = spark.createDataFrame([(i, t, "en", "s1", len(t)) for i, t in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id for r in pipeline.near_dedup(spark, docs, folder).select("doc_id").collect()}
+    assert len(near) > 20 and got == {i for i, s in enumerate(smallest) if i == s}
