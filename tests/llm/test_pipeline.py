@@ -139,3 +139,14 @@ def test_near_copies_at_five_words_and_similarity_go(spark, folder):
     docs = spark.createDataFrame([(i, t, "en", "s1", len(t)) for i, t in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id for r in pipeline.near_dedup(spark, docs, folder).select("doc_id").collect()}
     assert len(near) > 20 and got == {i for i, s in enumerate(smallest) if i == s}
+
+
+def test_packed_sequences_leave_the_pipeline(spark, nasty, folder):
+    import zlib
+
+    import numpy as np
+
+    pieces = pipeline.packing(spark, nasty.select(*pipeline.COLUMNS), folder).collect()
+    assert all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in pieces)
+    ids = [i for r in sorted(pieces, key=lambda r: (r.sequence_id, r.offset)) for i in r.ids]
+    assert ids.count(2) >= nasty.count() and ids[-1] == 2
