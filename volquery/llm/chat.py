@@ -5,7 +5,9 @@
 
 Roles and texts are written as they are.  Every rendered turn is reparsed; where the parser does not
 give the turn back, its content is escaped at the conflicting places, and if need be everywhere, until
-it does.  The parser knows no levels: it always undoes escapes.
+it does.  The parser knows no levels: it always undoes escapes.  It takes each control string for
+grammar wherever it stands, so content that holds one does not parse back and no control string is ever
+left inside content.
 
 Escapes are ``\\0`` for ``\\``, ``\\1`` for ``<`` and ``\\2`` for ``[``, so no control string can occur in
 escaped content, and undoing them in the order 1, 2, 0 is exact.  Native column expressions only.
@@ -13,10 +15,14 @@ escaped content, and undoing them in the order 1, 2, 0 is exact.  Native column
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OPEN, MIDDLE, CLOSE = "<s>[INST] ", " [/INST] ", "</s>"
+CONTROL = ("<s>", "</s>", "[INST]", "[/INST]")
 #: Places at which raw content would read as a control string or as an escape.
 CONFLICTS = ((r"\\(?=[012])", r"\\0"), (r"<(?=/?s>)", r"\\1"), (r"\[(?=/?INST\])", r"\\2"))
 EVERYWHERE = ((r"\\", r"\\0"), (r"<", r"\\1"), (r"\[", r"\\2"))
@@ -40,10 +46,18 @@ def render_turn(role: Column, text: Column, level: int) -> Column:
 
 def parse(rendered: Column) -> Column:
     """Array of ``struct(role, text, raw, raw_role)`` read from a rendered conversation; null where it
-    does not follow the grammar.  ``raw`` and ``raw_role`` are as written, escapes included."""
+    does not follow the grammar, as where a control string stands in a role or a text.  ``raw`` and
+    ``raw_role`` are as written, escapes included."""
     parts = F.split(rendered, "</s>", -1)
     turns = F.slice(parts, F.lit(1), F.size(parts) - 1)
 
+    def plain(part: Column) -> Column:
+        """One opening, one middle and no other control string."""
+        body = F.substr(part, F.lit(len(OPEN) + 1))
+        at = F.instr(body, MIDDLE)
+        content = F.concat_ws("\n", F.substr(body, F.lit(1), at - 1), F.substr(body, at + len(MIDDLE)))
+        return part.startswith(OPEN) & (at > 0) & ~functools.reduce(operator.or_, [content.contains(c) for c in CONTROL])
+
     def turn(part: Column) -> Column:
         # the role is escaped too, so the first MIDDLE ends it
         body = F.substr(part, F.lit(len(OPEN) + 1))
@@ -52,7 +66,7 @@ def parse(rendered: Column) -> Column:
         role = F.substr(body, F.lit(1), at - 1)
         return F.struct(unescape(role).alias("role"), unescape(raw).alias("text"), raw.alias("raw"), role.alias("raw_role"))
 
-    well_formed = (F.element_at(parts, -1) == "") & F.forall(turns, lambda p: p.startswith(OPEN) & (F.instr(F.substr(p, F.lit(len(OPEN) + 1)), MIDDLE) > 0))
+    well_formed = (F.element_at(parts, -1) == "") & F.forall(turns, plain)
     return F.when(rendered == "", F.array().cast("array<struct<role:string,text:string,raw:string,raw_role:string>>")).when(well_formed, F.transform(turns, turn))
 
 
@@ -72,7 +86,8 @@ def formatted_turns(rows: DataFrame, conv: str, turn: str, role: str, text: str)
         same = (F.size(got) == 1) & (got[0]["role"] == F.col("_role")) & (got[0]["text"] == F.col("_text"))
         return F.coalesce(same, F.lit(False))
 
-    level = F.when(~suspect, 0).when(holds(0), 0).when(holds(1), 1).otherwise(2)
+    wrong = F.raise_error(F.lit("a turn does not survive its escapes")).cast("int")
+    level = F.when(~suspect, 0).when(holds(0), 0).when(holds(1), 1).when(holds(2), 2).otherwise(wrong)
     leveled = base.withColumn("_level", level)
     rendered = F.when(F.col("_level") == 0, render_turn(F.col("_role"), F.col("_text"), 0))
     rendered = rendered.when(F.col("_level") == 1, render_turn(F.col("_role"), F.col("_text"), 1)).otherwise(render_turn(F.col("_role"), F.col("_text"), 2))
@@ -87,7 +102,7 @@ def format_chat(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role
 
     Turns are ordered by ``turn``, ties by role, then text; repeated rows are turns of their own.
     Null texts and roles are empty, null turns come first, rows with a null conversation form one
-    conversation, an empty table gives no rows.  A conversation is one output value, so its turns meet
+    conversation, an empty table gives no rows.  Texts of any length are formatted whole.  A conversation is one output value, so its turns meet
     in one task by definition; tasks hold many conversations."""
     turns = formatted_turns(rows, conv, turn, role, text)
     item = F.struct(F.col("_turn").alias("turn"), F.col("_role").alias("role"), F.col("_text").alias("text"), F.col("_rendered").alias("rendered"))
@@ -121,15 +136,14 @@ def chat_digest(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
     )
 
 
-#: The digests of ``chat_digest`` for plain roles, with the lengths that escapes give.
+#: The digests of ``chat_digest`` for plain roles.  From the rule that content with a control string or an
+#: escape is escaped at each of them, by one more character.
 ORACLE_SQL = r"""
 WITH rows_ AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 written AS (
-  SELECT *, length(role) + CASE WHEN contains(text, '</s>') OR regexp_matches(text, '\\[012]')
-      THEN length(text) + len(regexp_extract_all(text, '\\[012]')) + len(regexp_extract_all(text, '</?s>')) + len(regexp_extract_all(text, '\[/?INST\]'))
-      ELSE length(text) END + length('<s>[INST] ') + length(' [/INST] ') + length('</s>') AS chars
+  SELECT *, length(role) + length(text) + len(regexp_extract_all(text, '</?s>|\[/?INST\]|\\[012]')) + length('<s>[INST] ') + length(' [/INST] ') + length('</s>') AS chars
   FROM rows_),
 whole AS (
   SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS listed,
