@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from volquery.llm.mixing import SCHEDULES, invert_demand, mix, source_targets, word_sizes
 from volquery.llm.packing import default_tokenizer, encode_texts, pack
 from volquery.llm.shared import cut, prefix_sums, row_slices
-from volquery.llm.topk import MultiIndex, sign_codes, top_k
+from volquery.llm.topk import first_meetings, segments, sign_codes, top_k
 from volquery.llm.word_bpe import WordBpe
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -168,19 +168,44 @@ def test_top_k_matches_all_pairs(spark):
     assert top_k(frame.where("vec_id < 5"), F.col("vec_id") % 50 == 0, 9).count() == 6
 
 
-def test_search_stops_when_covered():
+@pytest.mark.parametrize("chunk", (2, 4096))
+def test_top_k_with_split_buckets_and_queries(spark, chunk):
+    """Buckets and common queries in many pieces, against all pairs."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(5, 64))
+    vectors = np.concatenate([base[rng.integers(0, 5, 150)] + rng.normal(scale=0.6, size=(150, 64)), np.repeat(base[:1], 100, axis=0), rng.normal(size=(50, 64))])
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, top_k(frame, F.col("vec_id") % 4 == 0, 5, chunk=chunk).collect()))
+    codes = np.packbits(vectors > 0, axis=1).view(np.uint64).ravel()
+    want = []
+    for q in range(0, len(codes), 4):
+        distance = np.bitwise_count(codes ^ codes[q])
+        order = np.lexsort((np.arange(len(codes)), distance))[:5]
+        want += [(q, r + 1, int(i), int(distance[i])) for r, i in enumerate(order)]
+    assert got == want
+
+
+def test_pairs_meet_once(spark):
+    """Over all rounds every pair is verified exactly once, and early rounds cover what they claim."""
     rng = np.random.default_rng(4)
-    codes = rng.integers(0, 256, (500, 8), dtype=np.uint8)
-    index = MultiIndex(codes)
-    table, kth = index.search(codes[:20].copy(), 1)
-    assert (kth == 0).all() and (table < 65).sum() < 20 * 50  # only the first buckets were looked at
-    table, kth = index.search(codes[:20].copy(), 10)
-    exact = np.bitwise_count(codes[:20].copy().view(np.uint64) ^ codes.view(np.uint64).ravel()[None, :])
-    for i in range(20):
-        assert kth[i] == np.sort(exact[i])[9] and ((table[i] <= kth[i]) == (exact[i] <= kth[i])).all()
+    codes = rng.integers(0, 1 << 63, (40, 1), dtype=np.int64) ^ (rng.integers(0, 2, (40, 1), dtype=np.int64) << 63)
+    apart = np.bitwise_count(codes.view(np.uint64) ^ codes.view(np.uint64).T)
+    parts = segments(1, 300)
+    frame = spark.createDataFrame([(i, [int(c[0])]) for i, c in enumerate(codes)], "i int, code array<bigint>")
+    cross = frame.crossJoin(frame.select(F.col("i").alias("j"), F.col("code").alias("query")))
+    cross = cross.withColumn("segment", F.explode(F.sequence(F.lit(0), F.lit(len(parts) - 1)))).cache()
+    seen = collections.Counter()
+    for radius in range(max(p.bits for p in parts) + 1):
+        # what probes of this radius would meet
+        differ = [F.bit_count(p.value(F.col("code")).bitwiseXOR(p.value(F.col("query")))) for p in parts]
+        met = cross.where(F.array(*differ)[F.col("segment")] == radius)
+        seen.update((r.i, r.j) for r in first_meetings(met, parts, 1, radius).collect())
+        covered = len(parts) * (radius + 1) - 1
+        assert all(seen[i, j] == 1 for i in range(40) for j in range(40) if apart[i, j] <= covered)
+    assert set(seen.values()) == {1} and len(seen) == 1600
 
 
 def test_codes_of_any_width(spark):
     frame = spark.createDataFrame([(1, [1.0] * 70), (2, [-1.0] * 3)], "vec_id long, embedding array<double>")
-    assert {r.vec_id: len(r.code) for r in sign_codes(frame).collect()} == {1: 16, 2: 8}
+    assert {r.vec_id: len(r.code) for r in sign_codes(frame).collect()} == {1: 2, 2: 1}
     assert top_k(frame, F.lit(True), 5).count() == 2  # codes of different widths are not compared

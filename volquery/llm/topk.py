@@ -1,14 +1,23 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code of B bytes has B segments, each indexed by its byte.  Search radii grow one segment at a time:
-once the first j + 1 segments have been searched to radius r and the others to r - 1, every code within
-B * r + j bits of the query has been seen.  A query stops when that covers its k-th verified distance.
+A code of W 64-bit words is cut into m segments of about log2(n) bits each (n distinct codes), and one
+corpus-wide table has every code under the value of each of its segments.  Search radii grow together:
+in round r a query probes, in every segment, the values at exactly r bits from its own.  A code at
+distance d has some segment within d // m bits, so after round r everything within m * (r + 1) - 1 bits
+has been seen, and a query stops when that covers the k-th distance it has verified.
+
+All probes of a round are one join.  A pair that meets in several segments or rounds is verified where it
+meets first, so it is looked at once.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
+import operator
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,137 +28,172 @@ from pyspark.sql import functions as F
 from .shared import cut
 
 TOP = 10
-#: Codes and queries that meet in one task at most, and codes from which another task is worth while.
-BLOCK, QUERY_BLOCK, LEAST_BLOCK = 65536, 4096, 2048
-#: Entries of the distance table of one run of queries.
-TABLE = 1 << 22
-MASKS = [np.array([m for m in range(256) if m.bit_count() == r], dtype=np.uint8) for r in range(9)]
+#: Narrowest and widest segment, in bits.
+LEAST_BITS, MOST_BITS = 8, 32
+#: Codes of one bucket that are searched in one piece, and queries of one code that are answered in one;
+#: more are split by a hash, so a crowded bucket or a very common query spreads over tasks.
+CHUNK = 4096
+#: Probes made at once.
+PROBES = 1 << 17
+
+
+@dataclass(frozen=True)
+class Segment:
+    """Bits ``low`` to ``low + bits - 1`` of a word."""
+
+    word: int
+    low: int
+    bits: int
+
+    @property
+    def mask(self) -> int:
+        return (1 << self.bits) - 1
+
+    def value(self, code: Column) -> Column:
+        return F.shiftrightunsigned(code[self.word], self.low).bitwiseAND(F.lit(self.mask))
+
+
+def segments(words: int, codes: int) -> list[Segment]:
+    """Segments of nearly log2(``codes``) bits; none crosses a word."""
+    bits = min(MOST_BITS, max(LEAST_BITS, round(math.log2(max(2, codes)))))
+    edges = np.linspace(0, 64, max(1, round(64 / bits)) + 1).astype(int).tolist()
+    return [Segment(w, a, b - a) for w in range(words) for a, b in itertools.pairwise(edges)]
 
 
 def sign_codes(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``key, code``: one bit for each dimension, 1 where the value is above 0 (null and NaN: 0), packed
-    in whole 8-byte words.  Rows with a null vector have no code and are left out."""
+    in 64-bit words.  Rows with a null vector have no code and are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("_vector")
             sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
             values = np.nan_to_num(pc.fill_null(lists.flatten(), 0).to_numpy(zero_copy_only=False), nan=0.0) > 0
-            ends = np.cumsum(sizes)
-            codes = []
-            for size, end in zip(sizes.tolist(), ends.tolist()):
-                bits = np.zeros(max(64, -(-size // 64) * 64), dtype=bool)
-                bits[:size] = values[end - size : end]
-                codes.append(np.packbits(bits).tobytes())
-            yield pa.RecordBatch.from_pydict({key: batch.column(key), "code": pa.array(codes, pa.binary())})
+            words = np.maximum(1, -(-sizes // 64))
+            ends = np.concatenate([[0], np.cumsum(words)])
+            bits = np.zeros(int(ends[-1]) * 64, dtype=bool)
+            shift = np.repeat(ends[:-1] * 64 - (np.cumsum(sizes) - sizes), sizes)
+            bits[np.arange(len(values)) + shift] = values
+            codes = np.packbits(bits, bitorder="little").view(np.int64)
+            yield pa.RecordBatch.from_pydict({key: batch.column(key), "code": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(codes))})
 
     kind = vectors.schema[key].dataType.simpleString()
-    return vectors.select(key, F.col(vector).alias("_vector")).where("_vector IS NOT NULL").mapInArrow(run, f"`{key}` {kind}, code binary")
-
-
-class MultiIndex:
-    """Buckets of one block of codes by each of their bytes."""
-
-    def __init__(self, codes: np.ndarray) -> None:
-        self.codes = codes  # n x B bytes
-        self.words = codes.view(np.uint64)
-        self.order = np.argsort(codes, axis=0, kind="stable")
-        self.starts = np.stack([np.searchsorted(codes[self.order[:, j], j], np.arange(257)) for j in range(codes.shape[1])])
-
-    def search(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Distances seen (queries x codes; B * 8 + 1 where not seen), complete up to each query's
-        covered distance, and the k-th distance (B * 8 if there are fewer codes)."""
-        n, width = self.codes.shape
-        k = min(k, n)
-        unseen = width * 8 + 1
-        table = np.full((len(queries), n), unseen, dtype=np.int16)
-        seen = np.zeros((len(queries), width * 8 + 1), dtype=np.int64)
-        words = queries.view(np.uint64)
-        active = np.arange(len(queries))
-        for radius in range(9):
-            for segment in range(width):
-                keys = (queries[active, segment, None] ^ MASKS[radius][None, :]).astype(np.int64)
-                lo, hi = self.starts[segment][keys].ravel(), self.starts[segment][keys + 1].ravel()
-                count = hi - lo
-                total = int(count.sum())
-                if total:
-                    at = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(total)
-                    row = np.repeat(np.repeat(active, keys.shape[1]), count)
-                    code = self.order[at, segment]
-                    new = table[row, code] == unseen
-                    row, code = row[new], code[new]
-                    distance = np.bitwise_count(self.words[code] ^ words[row]).sum(axis=1, dtype=np.int16)
-                    table[row, code] = distance
-                    seen += np.bincount(row * (width * 8 + 1) + distance, minlength=seen.size).reshape(seen.shape)
-                covered = width * radius + segment
-                active = active[seen[active, : covered + 1].sum(axis=1) < k]
-                if not len(active):
-                    kth = (np.cumsum(seen, axis=1) < k).sum(axis=1)
-                    return table, kth
-        return table, np.full(len(queries), width * 8)
-
-
-def _search_block(k: int, key: str, block: pa.Table, queries: pa.Table) -> pa.Table:
-    def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-        return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, width)
-
-    out: dict[str, list] = {"query_id": [], key: [], "distance": []}
-    widths = pc.binary_length(queries["code"]).to_numpy()
-    for width in np.unique(widths).tolist():  # codes of different lengths are not compared
-        mine = queries.filter(pa.array(widths == width))
-        codes = block.filter(pc.equal(pc.binary_length(block["code"]), width))
-        if not codes.num_rows or not mine.num_rows:
-            continue
-        ids = codes[key].combine_chunks()
-        by_id = np.empty(len(ids), dtype=np.int64)
-        by_id[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
-        index = MultiIndex(matrix(codes["code"], width))
-        wanted = matrix(mine["code"], width)
-        step = max(1, TABLE // codes.num_rows)
-        for at in range(0, len(wanted), step):
-            table, kth = index.search(wanted[at : at + step], k)
-            for i, names in enumerate(mine["query_id"].slice(at, step).to_pylist()):
-                near = np.flatnonzero(table[i] <= kth[i])
-                near = near[np.lexsort((by_id[near], table[i, near]))[:k]]
-                out["query_id"] += [names] * len(near)
-                out[key].append(ids.take(pa.array(near)))
-                out["distance"].append(table[i, near].astype(np.int32))
-    kind = block.schema.field(key).type
-    return pa.table(
-        {
-            "query_id": pa.array(out["query_id"], queries.schema.field("query_id").type),
-            key: pa.concat_arrays(out[key]) if out[key] else pa.array([], kind),
-            "distance": pa.array(np.concatenate(out["distance"]) if out["distance"] else np.zeros(0, np.int32)),
-        }
-    )
-
-
-def top_k(vectors: DataFrame, is_query: Column, k: int = TOP, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """``query_id, rank, key, distance`` for the rows where ``is_query`` (of the key) holds: the k nearest rows of each query row by Hamming distance, the
-    query itself included; ties go to the smaller key.
-
-    Rows are dealt to blocks of at most BLOCK codes and QUERY_BLOCK queries whatever their values, so
-    equal vectors cannot crowd one task, and each block is indexed where it is searched.  Null vectors
-    neither ask nor answer; null keys answer after all others; repeated rows are rows; with fewer than k
-    rows all are returned; an empty table gives no rows."""
-    codes = sign_codes(vectors, key, vector)
-    codes = cut(codes.withColumn("_is_query", F.coalesce(is_query, F.lit(False))), "topk-codes")
-    row = codes.agg(F.count("*").alias("n"), F.count_if("_is_query").alias("q")).first()
-    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(1, math.ceil(row["n"] / BLOCK), min(tasks, math.ceil(row["n"] / LEAST_BLOCK)))
-    query_blocks = max(1, math.ceil(row["q"] / QUERY_BLOCK))
-    place = F.xxhash64(F.monotonically_increasing_id())
-    data = codes.select(key, "code", F.pmod(place, F.lit(blocks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q"))
-    asked = codes.where("_is_query").select(F.col(key).alias("query_id"), "code", F.pmod(place, F.lit(query_blocks)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    kind = vectors.schema[key].dataType.simpleString()
+    return vectors.select(key, F.col(vector).alias("_vector")).where("_vector IS NOT NULL").mapInArrow(run, f"`{key}` {kind}, code array<bigint>")
+
+
+def masks(bits: int, radius: int) -> Iterator[np.ndarray]:
+    """All numbers of ``bits`` bits with ``radius`` of them set, in pieces."""
+    chosen = itertools.combinations(range(bits), radius)
+    while piece := list(itertools.islice(chosen, PROBES)):
+        places = np.array(piece, dtype=np.int64).reshape(len(piece), radius)
+        yield (np.int64(1) << places).sum(axis=1)
+
 
-    def search(block: pa.Table, queries: pa.Table) -> pa.Table:
-        return _search_block(k, key, block, queries)
+def probes(asked: DataFrame, parts: list[Segment], radius: int) -> DataFrame:
+    """``segment, value, query, bound``: the values at ``radius`` bits in every segment."""
 
-    found = data.groupBy("b", "q").cogroup(asked.groupBy("b", "q")).applyInArrow(search, f"query_id {kind}, `{key}` {kind}, distance int")
-    # equal query ids are one query; the limit on ranks is applied before the shuffle too
-    order = Window.partitionBy("query_id").orderBy("distance", F.col(key).asc_nulls_last())
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", key, "distance")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = batch.column("query").flatten().to_numpy().reshape(batch.num_rows, -1)
+            for i, part in enumerate(parts):
+                own = (codes[:, part.word].view(np.uint64) >> np.uint64(part.low)).astype(np.int64) & part.mask
+                for mask in masks(part.bits, radius):
+                    step = max(1, PROBES // len(mask))
+                    for at in range(0, len(own), step):
+                        value = (own[at : at + step, None] ^ mask[None, :]).ravel()
+                        row = pa.array(np.repeat(np.arange(at, min(at + step, len(own))), len(mask)))
+                        yield pa.RecordBatch.from_pydict({"segment": pa.array(np.full(len(value), i, np.int32)), "value": pa.array(value), **{c: batch.column(c).take(row) for c in ("query", "bound")}})
+
+    return asked.select("query", "bound").mapInArrow(run, "segment int, value bigint, query array<bigint>, bound int")
+
+
+def _all(tests: list[Column]) -> Column:
+    return functools.reduce(operator.and_, tests)
+
+
+def first_meetings(met: DataFrame, parts: list[Segment], words: int, radius: int) -> DataFrame:
+    """Of rows ``segment, query, code`` those where the pair meets for the first time, with its distance:
+    every segment differs in ``radius`` bits or more, those before this one in more."""
+    differing = F.array(*[F.col("query")[w].bitwiseXOR(F.col("code")[w]) for w in range(words)])
+    apart = met.withColumn("_x", differing)
+    distance = functools.reduce(operator.add, [F.bit_count(F.col("_x")[w]) for w in range(words)])
+    counts = [F.bit_count(p.value(F.col("_x"))) for p in parts]
+    first = _all([c >= F.when(F.col("segment") > i, radius + 1).otherwise(radius) for i, c in enumerate(counts)])
+    return apart.where(first).withColumn("distance", distance.cast("int"))
+
+
+def search(codes: DataFrame, words: int, k: int, key: str, chunk: int, name: str) -> DataFrame:
+    """``query, distance, key, rank`` for each distinct code of a query among ``key, code, _is_query``."""
+    far = words * 64
+    first = Window.partitionBy("code").orderBy(F.col(key).asc_nulls_last())
+    # a code shared by any number of rows needs its first k keys; the limit acts before the shuffle too
+    named = codes.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= k)
+    items = F.sort_array(F.collect_list(F.struct("_nth", F.col(key).alias("key"))))
+    nodes = cut(named.groupBy("code").agg(F.transform(items, lambda x: x["key"]).alias("keys")), f"{name}-nodes")
+    asked = cut(codes.where("_is_query").select(F.col("code").alias("query"), F.lit(far).alias("bound")).distinct(), f"{name}-queries")
+
+    parts = segments(words, nodes.count())
+    entry = F.explode(F.array(*[F.struct(F.lit(i).alias("segment"), p.value(F.col("code")).alias("value")) for i, p in enumerate(parts)]))
+    listed = nodes.select("code", "keys", entry.alias("at")).select("at.*", "code", "keys")
+    buckets = cut(listed.groupBy("segment", "value").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks")), f"{name}-buckets")
+    index = listed.join(buckets.hint("merge"), ["segment", "value"])
+    index = cut(index.select("segment", "value", F.pmod(F.xxhash64("code"), "chunks").cast("int").alias("chunk"), "code", "keys"), f"{name}-index")
+
+    nearest = Window.partitionBy("query").orderBy("distance", F.col("key").asc_nulls_last())
+    best, settled = None, []
+    for radius in range(max(p.bits for p in parts) + 1):
+        hit = probes(asked, parts, radius).join(buckets.hint("merge"), ["segment", "value"])
+        hit = hit.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        met = hit.join(index.hint("merge"), ["segment", "value", "chunk"])
+        near = first_meetings(met, parts, words, radius).where("distance <= bound")
+        near = near.select("query", "distance", F.explode("keys").alias("key"))
+        near = near if best is None else near.unionByName(best.select("query", "distance", "key"))
+        near = near.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
+        whole = Window.partitionBy("query")
+        near = near.withColumn("n", F.count("*").over(whole)).withColumn("worst", F.max("distance").over(whole))
+        near = cut(near, f"{name}-best")
+        covered = len(parts) * (radius + 1) - 1
+        done = (F.col("n") >= k) & (F.col("worst") <= covered)
+        settled.append(near.where(done))
+        best = near.where(~done)
+        left = best.groupBy("query").agg(F.first("n").alias("n"), F.first("worst").alias("worst"))
+        asked = cut(left.select("query", F.when(F.col("n") >= k, F.col("worst")).otherwise(far).alias("bound")), f"{name}-open")
+        if asked.isEmpty():
+            break
+    else:
+        settled.append(best)  # every bucket has been searched
+    found = functools.reduce(DataFrame.unionByName, settled)
+    return found.select("query", "distance", "key", "rank")
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = TOP, key: str = "vec_id", vector: str = "embedding", chunk: int = CHUNK, name: str = "topk") -> DataFrame:
+    """``query_id, rank, key, distance`` for the rows where ``is_query`` (of the key) holds: the k nearest
+    rows of each query row by Hamming distance, the query itself included; ties go to the smaller key.
+
+    Equal vectors are one code, searched once and kept with its first k keys, so copies cannot crowd a
+    task; buckets and queries beyond ``chunk`` are split.  Null vectors neither ask nor answer; null keys
+    answer after all others; repeated rows are rows, and queries that repeat ask once (a key with several
+    vectors asks for each); vectors of any length are coded whole, and codes of different lengths in words
+    are not compared; with fewer than k rows all are returned; an empty table gives no rows."""
+    codes = sign_codes(vectors, key, vector)
+    codes = cut(codes.withColumn("_is_query", F.coalesce(is_query, F.lit(False))), f"{name}-codes")
+    widths = [r["w"] for r in codes.where("_is_query").select(F.size("code").alias("w")).distinct().collect()]  # one for each length
+    out = []
+    for words in widths:
+        mine = codes.where(F.size("code") == words)
+        best = search(mine, words, k, key, chunk, name)
+        # a code that very many queries share is answered in pieces
+        pieces = mine.where("_is_query").groupBy("code").agg(F.ceil(F.count("*") / chunk).cast("int").alias("pieces"))
+        answers = best.join(pieces.hint("merge"), best["query"] == pieces["code"])
+        answers = answers.select("query", "distance", F.col("key").alias("_key"), "rank", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("_piece"))
+        queries = mine.where("_is_query").select(F.col(key).alias("query_id"), "code").distinct().join(pieces.withColumnRenamed("code", "_code").hint("merge"), F.col("code") == F.col("_code"))
+        queries = queries.select("query_id", "code", F.pmod(F.xxhash64("query_id"), "pieces").cast("int").alias("_of"))
+        met = queries.join(answers.hint("merge"), (F.col("code") == F.col("query")) & (F.col("_of") == F.col("_piece")))
+        out.append(met.select("query_id", "rank", F.col("_key").alias(key), "distance"))
+    if not out:
+        kind = vectors.schema[key].dataType.simpleString()
+        return vectors.sparkSession.createDataFrame([], f"query_id {kind}, rank int, `{key}` {kind}, distance int")
+    return functools.reduce(DataFrame.unionByName, out)
 
 
 #: The same search by comparing all pairs.
