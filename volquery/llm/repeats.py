@@ -24,14 +24,12 @@ LENGTH = 400
 GRAM = 128
 #: Windows worked on at once in a long text, and the longest piece.
 BLOCK, PIECE = 1 << 18, 1 << 15
-#: Occurrences from which a key is split further, by the least hashes in other orders.
-HOT = 1 << 14
+#: Places from which a key is split further, by the least hashes in other orders: two, and one more each
+#: time the places double, up to SPLITS.
+HOT, SPLITS = 1 << 12, 16
 #: Bytes of distinct pieces of one key in a chunk; larger keys are split in chunks and all pairs of chunks
 #: are indexed, so the windows of one key never meet in one task.
 CHUNK = 1 << 17
-#: Bytes of distinct pieces of one key from which pairs of chunks cost more than counting its windows one
-#: by one, which is as exact and grows with the bytes only.
-WIDE = 1 << 22
 #: Bytes of small groups that share an index.
 INDEX = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -82,24 +80,25 @@ def occurrences(data: np.ndarray, length: int, gram: int) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
-def segments(data: np.ndarray, keys: np.ndarray, hot: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+def segments(data: np.ndarray, keys: np.ndarray, splits: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """``key, start, count, twice``: runs of windows with one key among ``keys`` (sorted), and whether the
-    key's q-gram occurs twice in the run.  Keys in ``hot`` are split by the least hashes in two more
-    orders; equal windows agree in these too."""
+    key's q-gram occurs twice in the run.  A key is split by the least hashes in as many other orders as
+    ``splits`` says; equal windows agree in these too."""
     out: list[tuple[np.ndarray, ...]] = []
     width = length - gram + 1
     for at in range(0, len(data) - length + 1, BLOCK):
         hashes = gram_hashes(data[at : at + BLOCK + length - 1], gram)
         key = least = sliding(hashes, width, np.minimum, TOP)
-        wanted = keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key if len(keys) else np.zeros(len(key), bool)
+        if not len(keys):
+            continue
+        listed = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        wanted = keys[listed] == key
         if not wanted.any():
             continue
-        if len(hot):
-            is_hot = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
-            if is_hot.any():
-                for salt in (0xA24BAED4963EE407, 0x9FB21C651E98DF25):
-                    again = sliding(_mix(hashes ^ np.uint64(salt)), width, np.minimum, TOP)
-                    key = np.where(is_hot, _mix(key * np.uint64(31) + again), key)
+        times = np.where(wanted, splits[listed], 0)
+        for i in range(int(times.max())):
+            again = sliding(_mix(hashes ^ _mix(np.full(1, i + 1, np.uint64) * np.uint64(_BASE))), width, np.minimum, TOP)
+            key = np.where(times > i, _mix(key * np.uint64(31) + again), key)
         change = np.flatnonzero((key[1:] != key[:-1]) | (wanted[1:] != wanted[:-1])) + 1
         start = np.concatenate([[0], change])
         count = np.diff(np.append(start, len(key)))
@@ -120,8 +119,12 @@ def text_id(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def _longs(lists: pa.Array, row: int) -> np.ndarray:
-    return np.sort(lists[row].values.to_numpy().view(np.uint64)) if lists[row].is_valid and len(lists[row]) else np.zeros(0, np.uint64)
+def _listed(lists: pa.Array, row: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of one text in order, and how often each is split."""
+    fields = pa.RecordBatch.from_struct_array(lists[row].values)
+    keys = fields.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], fields.column("splits").to_numpy()[order]
 
 
 def scan_texts(docs: DataFrame, key: str, text: str, length: int, gram: int) -> DataFrame:
@@ -147,10 +150,10 @@ def scan_texts(docs: DataFrame, key: str, text: str, length: int, gram: int) ->
 
 def _pieces(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, tuple]]:
     for batch in batches:
-        texts, keys, hot = batch.column("_text").cast(pa.binary()), batch.column("_keys"), batch.column("_hot")
+        texts, keys = batch.column("_text").cast(pa.binary()), batch.column("_keys")
         for row in range(batch.num_rows):
             data = np.frombuffer(texts[row].as_buffer(), np.uint8)
-            yield batch, row, data, segments(data, _longs(keys, row), _longs(hot, row), length, gram)
+            yield batch, row, data, segments(data, *_listed(keys, row), length, gram)
 
 
 def piece_owners(suspects: DataFrame, length: int, gram: int) -> DataFrame:
@@ -249,24 +252,6 @@ def index_groups(groups: DataFrame, length: int) -> DataFrame:
     return groups.mapInArrow(run, "key bigint, piece binary, lo bigint, hi bigint")
 
 
-def counted_windows(pieces: DataFrame, length: int) -> DataFrame:
-    """``key, piece, lo, hi`` as from the index, by counting the windows of all pieces in a shuffle; equal
-    windows are combined before it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                raw = batch.column("bytes")[row].as_py()
-                n = len(raw) - length + 1
-                at = pa.array(np.full(n, row))
-                windows = [hashlib.md5(raw[i : i + length], usedforsecurity=False).digest() for i in range(n)]
-                yield pa.RecordBatch.from_pydict({"key": batch.column("key").take(at), "piece": batch.column("piece").take(at), "lo": pa.array(np.arange(n)), "_window": pa.array(windows, pa.binary())})
-
-    windows = cut(pieces.select("key", "piece", "bytes").mapInArrow(run, "key bigint, piece binary, lo bigint, _window binary"), "repeats-windows")
-    often = cut(windows.groupBy("_window").agg(F.count("*").alias("n")).where("n > 1").select("_window"), "repeats-often")
-    return windows.join(often, "_window").select("key", "piece", "lo", (F.col("lo") + 1).alias("hi"))
-
-
 def cut_out(marked: DataFrame, length: int) -> DataFrame:
     """``_id, n_removed, n_spans, _kept, text``: bytes that no marked window covers."""
 
@@ -288,21 +273,22 @@ def cut_out(marked: DataFrame, length: int) -> DataFrame:
     return marked.mapInArrow(run, "_id binary, n_removed bigint, n_spans bigint, _kept binary")
 
 
-def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, chunk: int = CHUNK, wide: int = WIDE) -> DataFrame:
+def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, chunk: int = CHUNK) -> DataFrame:
     """``key, n_bytes, n_removed, n_spans, kept_sha256``: one row per input row.
 
     Texts that occur twice are repeated as a whole (from ``length`` bytes on) and take part once.  A null
     text is empty; null keys and repeated rows are rows like others; texts shorter than ``length`` keep
-    everything; an empty table gives no rows."""
+    everything; longer ones are looked at whole, in blocks; an empty table gives no rows."""
     spark = docs.sparkSession
     scanned = cut(scan_texts(docs, key, text, length, gram), "repeats-scan")
     texts = cut(scanned.groupBy("_id").agg(F.count("*").alias("copies"), F.min(key).alias("_first"), F.first("_keys").alias("_keys")), "repeats-texts")
     each = texts.select("_id", F.explode("_keys").alias("key"))
     repeated = cut(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "repeats-keys")
-    listed = each.distinct().join(repeated, "key").groupBy("_id").agg(F.collect_list("key").alias("_keys"), F.collect_list(F.when(F.col("n") > hot, F.col("key"))).alias("_hot"))  # of one text
+    splits = F.when(F.col("n") > hot, F.least(F.lit(SPLITS), 2 + F.floor(F.log2(F.col("n") / hot)))).otherwise(0).cast("int")
+    listed = each.distinct().join(repeated, "key").groupBy("_id").agg(F.collect_list(F.struct("key", splits.alias("splits"))).alias("_keys"))  # of one text
     listed = cut(listed.join(texts.select(F.col("_id").alias("_id2"), "_first"), F.col("_id") == F.col("_id2")).drop("_id2"), "repeats-listed")
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_id", text_id(F.col("_text")))
-    suspects = rows.join(listed, "_id").where(F.col("_key").eqNullSafe(F.col("_first"))).select("_id", "_text", "_keys", "_hot")
+    suspects = rows.join(listed, "_id").where(F.col("_key").eqNullSafe(F.col("_first"))).select("_id", "_text", "_keys")
     suspects = cut(suspects, "repeats-suspects")
 
     owners = cut(piece_owners(suspects, length, gram), "repeats-owners")
@@ -314,19 +300,16 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     alone = F.col("k").isNull() & (F.col("uses") == 1) & F.col("twice")
     joined = pieces.join(sizes, "key", "left")
     chosen = joined.where(F.col("k").isNotNull() | alone)
-    # no chunks: the key's windows are counted
-    chunks = F.when(F.col("bytes") > wide, 0).otherwise(F.coalesce(F.ceil(F.col("bytes") / chunk), F.lit(1))).cast("int")
-    chunk_of = F.pmod(F.xxhash64("piece"), F.greatest(chunks, F.lit(1))).cast("int")
+    chunks = F.coalesce(F.ceil(F.col("bytes") / chunk), F.lit(1)).cast("int")
+    chunk_of = F.pmod(F.xxhash64("piece"), chunks).cast("int")
     chosen = chosen.select("_id", F.struct("key", "piece", "start", "n", chunk_of.alias("chunk"), chunks.alias("chunks")).alias("p"))
     by_text = cut(chosen.groupBy("_id").agg(F.collect_list("p").alias("_list")), "repeats-chosen")  # of one text
     parts = chosen_pieces(suspects.select("_id", "_text").join(by_text, "_id").select("_text", "_list"), length)
-    grouped = parts.where("chunks > 0").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    grouped = parts.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     grouped = grouped.select("key", F.least("chunk", "o").alias("ci"), F.greatest("chunk", "o").alias("cj"), "piece", "bytes")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     grouped = grouped.repartition(n, "key", "ci", "cj").sortWithinPartitions("key", "ci", "cj")
     marks = index_groups(grouped, length).unionByName(pieces.where("uses > 1").select("key", "piece", F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi")))
-    if not sizes.where(F.col("bytes") > wide).isEmpty():
-        marks = marks.unionByName(counted_windows(parts.where("chunks = 0"), length))
     marks = cut(marks, "repeats-marks")
 
     single = texts.where("copies = 1").select("_id")
