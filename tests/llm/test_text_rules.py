@@ -6,6 +6,8 @@ import zlib
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from volquery.llm import privacy
 from volquery.llm.chat import chat_digest, format_chat
 from volquery.llm.quality_classifier import classify, isotonic
@@ -161,9 +163,39 @@ PRIVATE = [
 ]
 
 
+def test_surrogates_agree_over_forms(spark):
+    texts = [
+        "Mr. John Smith met Mr Smith and Mr. Smith and MR", "Mr John Smith, Mrs. Ann Smith-Jones", "+49 30 1234567 or +49301234567, 1 (521) 555-6210 and +1 521 555 6210",
+        "10.0.0.1 192.168.3.4 172.20.1.1 8.8.8.8 10.0.0.1", "Господин Пётр Иванов и Господин Иванов",
+    ]
+    rows = privacy.replace_private(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").collect()
+    got = [r.text for r in sorted(rows)]
+    given, family = re.match(r"Mr\. (\w+) (\w+) met", got[0]).groups()
+    assert got[0] == f"Mr. {given} {family} met Mr {family} and Mr. {family} and MR" and got[1].startswith(f"Mr {given} {family}, Mrs. ")
+    assert re.search(r"Mrs\. [A-Z][a-z]+ [A-Z][a-z]+-[A-Z][a-z]+$", got[1])
+    a, b, c, d = re.fullmatch(r"(\+49 \d\d \d{7}) or (\+49\d{9}), (1 \(\d{3}\) 555-\d{4}) and (\+1 \d{3} 555 \d{4})", got[2]).groups()
+    assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b) != "49301234567" and re.sub(r"\D", "", c) == re.sub(r"\D", "", d) != "15215556210"
+    x = got[3].split()
+    assert x[0] == x[4] != "10.0.0.1" and x[0].startswith("10.") and x[1].startswith("192.168.") and x[2].startswith("172.20.") and 11 <= int(x[3].split(".")[0]) < 100
+    p, q, r = re.fullmatch(r"Господин ([А-Яа-я]+) ([А-Яа-я]+) и Господин ([А-Яа-я]+)", got[4]).groups()
+    assert q == r
+    other = privacy.replace_private(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "another key").collect()
+    assert all(o.text != t for o, t in zip(sorted(other), got))
+
+
+def test_many_names_stay_apart(spark):
+    """One to one over 100,000 names, none of them among the entities, all in their format."""
+    names = spark.range(50_000).select(F.lit("family:latin:").alias("kind"), F.concat(F.lit("n"), F.conv("id", 10, 36)).alias("norm"))
+    names = names.unionByName(names.select(F.lit("given:latin:female").alias("kind"), "norm"))
+    got = privacy.distinct_surrogates(names, "key")
+    assert got.count() == 100_000 == got.select("kind", "surrogate").distinct().count()
+    assert got.where(~F.col("surrogate").rlike("^[a-z]{5,24}$")).count() == 0
+    assert got.join(names.withColumnRenamed("norm", "surrogate"), ["kind", "surrogate"]).count() == 0
+
+
 def test_surrogates(spark, nasty):
     rows = [(i, t) for i, t in enumerate(PRIVATE)] + [(2, PRIVATE[2])]
-    out = privacy.replace_private(spark.createDataFrame(rows, "doc_id long, text string"))
+    out = privacy.replace_private(spark.createDataFrame(rows, "doc_id long, text string"), "key")
     assert out.count() == len(rows)
     got = {r.doc_id: r for r in out.collect()}
     for i in (7, 8, 9):
@@ -177,10 +209,10 @@ def test_surrogates(spark, nasty):
     assert sum(d if i % 2 == 0 else (d * 2 - 9 if d > 4 else d * 2) for i, d in enumerate(int(c) for c in reversed(visa.replace(" ", "")))) % 10 == 0
     assert got[11].text.split()[1] == got[2].text.split()[-1]  # coreference across documents
     names = re.findall(r"Frau (\w+ \w+)", got[5].text)
-    assert names[0] == names[1] and names[0].split()[0] in privacy.NAMES["latin", "female"].split()
+    assert names[0] == names[1] and names[0].split()[0].endswith(tuple(privacy.ENDS["given", "latin", "female"].split()))
     assert re.search(r"[А-Я][а-я]+ при", got[6].text)
     assert (got[5].n_person, got[0].n_email, got[1].n_phone, got[2].n_card) == (3, 2, 2, 2)
-    kept = privacy.replace_private(nasty)
+    kept = privacy.replace_private(nasty, "key")
     assert kept.count() == nasty.count()
 
 
@@ -188,16 +220,16 @@ def test_surrogates_stay_apart(spark):
     """Two-letter names leave few surrogates of their form: clashes must be drawn again."""
     letters = "abcdefghijklmnopqrstuvwxyz"
     rows = [(i, f"{a}{b}@x.example.com") for i, (a, b) in enumerate((a, b) for a in letters for b in letters[:12])]
-    out = [r.text for r in privacy.replace_private(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    out = [r.text for r in privacy.replace_private(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()]
     assert len(set(out)) == len(rows) and not {t for _, t in rows} & set(out)
 
 
 def test_surrogates_of_nothing(empty):
-    assert privacy.replace_private(empty).count() == 0
+    assert privacy.replace_private(empty, "key").count() == 0
 
 
 def test_native_plans_have_no_python(nasty):
-    for frame in (secret_digest(secret_scan(nasty)), privacy.replace_private(nasty)):
+    for frame in (secret_digest(secret_scan(nasty)), privacy.replace_private(nasty, "key")):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow", plan)
 

@@ -3,6 +3,11 @@
 Every detected entity is replaced by a keyed surrogate of its own type, script, gender and format.  Equal
 entities (after normalisation) get equal surrogates everywhere, different ones different surrogates, and
 no surrogate equals a detected entity: clashes are found over the whole corpus and drawn again.
+
+A person is replaced name by name: the given name by one of the same script and gender, the family name by
+one of the same script, the title stays.  So "Mr. John Smith", "Mr John Smith" and "Mr. Smith" agree, and
+as names map one to one, different persons stay different.  Telephone numbers keep their country code,
+addresses their range.  Persons are found by their titles only: no list of names is used.
 """
 
 from __future__ import annotations
@@ -26,17 +31,19 @@ MALE, FEMALE = "Mr|Herr|Señor|Monsieur|Господин", "Mrs|Ms|Miss|Frau|Se
 PERSON = rf"(?<![{WORD}])(?:{FEMALE}|{MALE})\.?\x20\p{{Lu}}[\p{{L}}'-]+(?:\x20\p{{Lu}}[\p{{L}}'-]+)?"
 KINDS = (("email", EMAIL), ("card", CARD), ("phone", PHONE), ("ssn", SSN), ("ip", IP), ("person", PERSON))
 ANY = "|".join(f"(?:{p})" for _, p in KINDS)
-NAMES = {
-    ("latin", "male"): "Adam Bruno Carl David Erik Felix Georg Hugo Ivan Jonas Karl Leo Martin Nico Oscar Paul",
-    ("latin", "female"): "Alma Berta Clara Dora Elsa Flora Greta Helen Irma Julia Klara Lena Maria Nora Olga Paula",
-    ("cyrillic", "male"): "Антон Борис Виктор Глеб Денис Егор Захар Илья",
-    ("cyrillic", "female"): "Анна Вера Галина Дарья Елена Жанна Зоя Ирина",
-}
-SURNAMES = {
-    "latin": "Abel Brandt Castell Dorn Ebner Falk Gallo Hartwig Iberg Jansen Keller Lorenz Moreau Nadal Orlov Pascal Quint Rossi Soler Thal Urban Vidal Weller Zeller",
-    "cyrillic": "Белов Волков Громов Дубов Ежов Жуков Зимин Ильин Карпов Лебедев Миронов Новиков",
-}
-#: Draws of the right format before a surrogate gets a distinguishing tail.
+#: Sounds of invented names, and the ends of given and family names.
+SOUNDS = {"latin": ("b d f g h j k l m n p r s t v w z ch sh th br tr", "a e i o u ai ei"), "cyrillic": ("б в г д ж з к л м н п р с т ф х ц ч ш", "а е и о у я ю")}
+ENDS = {
+    ("given", "latin", "male"): "o an us er im on ert as", ("given", "latin", "female"): "a ia ina elle ara ette isa une",
+    ("given", "cyrillic", "male"): "ан ей ор ил ир ат", ("given", "cyrillic", "female"): "а ия ина ара ья ея",
+    ("family", "latin", ""): "er in ard sen ley mann ot ini ez ow", ("family", "cyrillic", ""): "ов ин ский ко ев ук",
+}
+#: Country codes of one and two digits; the others have three.  Fixed values.
+COUNTRY = r"^\+(1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+#: Leading octets that tell private, local and group addresses.  Fixed values.
+RANGES = r"^(10|127|192\.168|169\.254|172\.(?:1[6-9]|2[0-9]|3[01])|22[4-9]|2[3-5][0-9])\."
+#: Draws of the right format before a surrogate gets a distinguishing tail, where its format has no room for
+#: more (names grow with their draws and never need one).
 DRAWS = 12
 
 
@@ -59,8 +66,23 @@ def kind_of(value: Column) -> Column:
 
 
 def normal(kind: Column, value: Column) -> Column:
-    """What equal entities have in common: digits of numbers, lower case of the rest."""
-    return F.when(kind.isin("card", "phone", "ssn"), F.regexp_replace(value, "[^0-9]", "")).when(kind == "ip", value).otherwise(F.lower(value))
+    """What equal entities have in common: digits of numbers (with a plus before a country code), lower case
+    of the rest."""
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    abroad = value.startswith("+") | (F.length(digits) > 10)
+    phone = F.when(abroad, F.concat(F.lit("+"), digits)).otherwise(digits)
+    return F.when(kind == "phone", phone).when(kind.isin("card", "ssn"), digits).when(kind == "ip", value).otherwise(F.lower(value))
+
+
+def parts_of(kind: Column, value: Column) -> Column:
+    """``struct(kind, norm)`` of what is replaced by itself: the names of a person, or the whole value."""
+    words = F.split(value, "\x20")
+    script = F.when(value.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    gender = F.when(words[0].rlike(f"^(?:{FEMALE})\\.?$"), "female").otherwise("male")
+    family = F.struct(F.concat(F.lit("family:"), script, F.lit(":")).alias("kind"), F.lower(F.element_at(words, -1)).alias("norm"))
+    given = F.struct(F.concat_ws(":", F.lit("given"), script, gender).alias("kind"), F.lower(F.get(words, F.lit(1))).alias("norm"))
+    names = F.when(F.size(words) > 2, F.array(given, family)).otherwise(F.array(family))
+    return F.when(kind == "person", names).otherwise(F.array(F.struct(kind.alias("kind"), normal(kind, value).alias("norm"))))
 
 
 def _digest(secret: str, *parts: Column) -> Column:
@@ -75,9 +97,24 @@ def _number(digest: Column, at: Column | int, modulus: int) -> Column:
     return (F.conv(part, 16, 10).cast("long") % modulus).cast("int")
 
 
-def _pick(digest: Column, at: int, names: str) -> Column:
-    listed = names.split()
-    return F.element_at(F.array(*[F.lit(x) for x in listed]), _number(digest, at, len(listed)) + 1)
+def _words(listed: str) -> Column:
+    return F.array(*[F.lit(x) for x in listed.split()])
+
+
+def _pick(digest: Column, at: Column | int, listed: Column) -> Column:
+    return F.element_at(listed, _number(digest, at, 1 << 16) % F.size(listed) + 1)
+
+
+def _name(digest: Column, draw: Column, kind: Column) -> Column:
+    """An invented name in lower case.  Each second draw is a syllable longer, so there is always room."""
+    cyrillic = kind.contains(":cyrillic:")
+    consonants, vowels = (F.when(cyrillic, _words(c)).otherwise(_words(v)) for c, v in zip(SOUNDS["cyrillic"], SOUNDS["latin"]))
+    ends = F.lit(None).cast("array<string>")
+    for parts, listed in ENDS.items():
+        ends = F.when(kind == ":".join(parts), _words(listed)).otherwise(ends)
+    count = F.least(2 + F.floor(draw / 2), F.lit(9)).cast("int")
+    syllables = F.transform(F.sequence(F.lit(1), count), lambda i: F.concat(_pick(digest, i * 2, consonants), _pick(digest, i * 2 + 1, vowels)))
+    return F.concat(F.array_join(syllables, ""), _pick(digest, 0, consonants), _pick(digest, 1, ends))
 
 
 def _alike(digest: Column, value: Column) -> Column:
@@ -100,48 +137,57 @@ def luhn_ok(digits: Column) -> Column:
     return F.aggregate(figures, F.lit(0), lambda a, x: a + x) % 10 == 0
 
 
-def surrogate(secret: str, kind: Column, norm: Column, draw: Column) -> Column:
-    """The surrogate in normal form: digits for numbers, lower case for the rest."""
-    h = _digest(secret, kind, norm, draw)
+def surrogate(secret: str, kind: Column, norm: Column, draw: Column, h: Column) -> Column:
+    """The surrogate in normal form: digits for numbers, lower case for the rest.  ``h`` is the digest of the
+    draw, as a column, so that it is made once."""
     numbers = _alike(h, norm)
-    # telephone numbers keep the country digits and the 555 of invented numbers
-    phone = F.when(norm.rlike("^1[0-9]{3}555[0-9]{4}$"), F.concat(F.lit("1"), F.substr(numbers, F.lit(2), F.lit(3)), F.lit("555"), F.substr(numbers, F.lit(8))))
-    phone = phone.otherwise(F.concat(F.substr(norm, F.lit(1), F.lit(1)), F.substr(numbers, F.lit(2))))
+    # telephone numbers keep the country code and the 555 of invented numbers
+    code = F.concat(F.lit("+"), F.regexp_extract(norm, COUNTRY, 1))
+    rest = F.when(norm.startswith("+"), F.substr(numbers, F.length(code) + 1)).otherwise(numbers)
+    rest = F.when(rest.startswith("0"), F.concat(F.lit("3"), F.substr(rest, F.lit(2)))).otherwise(rest)
+    rest = F.when(norm.rlike("^([+]1)?[0-9]{3}555[0-9]{4}$"), F.concat(F.substr(rest, F.lit(1), F.lit(3)), F.lit("555"), F.substr(rest, F.lit(7)))).otherwise(rest)
+    phone = F.when(norm.startswith("+"), F.concat(code, rest)).otherwise(rest)
     # a valid card number stays valid: the last digit is the check digit
     stem = F.substr(numbers, F.lit(1), F.length(numbers) - 1)
     checked = F.element_at(F.filter(F.array(*[F.lit(str(d)) for d in range(10)]), lambda d: luhn_ok(F.concat(stem, d))), 1)
     card = F.when(luhn_ok(norm), F.concat(stem, checked)).otherwise(numbers)
-    ip = F.concat_ws(".", *[(_number(h, i, 254) + 1).cast("string") for i in range(4)])
+    # private addresses stay private, public ones public
+    octets = [(_number(h, i, 254) + 1).cast("string") for i in range(1, 4)]
+    range_ = F.regexp_extract(norm, RANGES, 1)
+    ip = F.when(range_ == "", F.concat_ws(".", (_number(h, 0, 89) + 11).cast("string"), *octets)).when(range_.contains("."), F.concat_ws(".", range_, *octets[:2])).otherwise(F.concat_ws(".", range_, *octets))
     local, domain = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
     # one surrogate domain for each domain, so that relations between addresses stay
     mail = F.concat(_alike(h, local), F.lit("@d"), F.substr(_digest(secret, F.lit("domain"), domain), F.lit(1), F.lit(10)), F.lit(".example"))
-    title = F.substring_index(norm, " ", 1)
-    script = F.when(norm.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    gender = F.when(title.rlike(f"(?iu)^(?:{FEMALE})\\.?$"), "female").otherwise("male")
-    full = F.size(F.split(norm, " ")) > 2
-    person = None
-    for (s, g), firsts in NAMES.items():
-        name = F.concat_ws(" ", title, F.when(full, F.lower(_pick(h, 0, firsts))), F.lower(_pick(h, 5, SURNAMES[s])))
-        name = F.when(draw > 2, F.concat(name, F.lit("-"), F.lower(_pick(h, 9, SURNAMES[s])))).otherwise(name)
-        test = (script == s) & (gender == g)
-        person = F.when(test, name) if person is None else person.when(test, name)
-    out = F.when(kind == "email", mail).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ip", ip).when(kind == "ssn", numbers).otherwise(person)
-    return F.when(draw < DRAWS, out).otherwise(F.concat(out, F.lit("-"), F.substr(h, F.lit(1), F.lit(24))))
-
-
-def in_format(kind: Column, value: Column, norm_surrogate: Column) -> Column:
-    """The surrogate written the way ``value`` is: its separators, its case."""
+    out = F.when(kind == "email", mail).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ip", ip).otherwise(numbers)
+    out = F.when(draw < DRAWS, out).otherwise(F.concat(out, F.lit("-"), F.substr(h, F.lit(1), F.lit(24))))
+    name = _name(h, draw, kind)
+    name = F.when(norm.contains("-"), F.concat_ws("-", name, _name(F.sha2(h, 256), draw, kind))).otherwise(name)
+    return F.when(kind.contains(":"), name).otherwise(out)
+
+
+def _cased(value: Column, surrogate_: Column) -> Column:
+    """A name written the way ``value`` is: all capitals, or a capital at each start."""
+    capital = F.replace(F.initcap(F.replace(surrogate_, F.lit("-"), F.lit(" "))), F.lit(" "), F.lit("-"))
+    return F.when((F.upper(value) == value) & (F.length(value) > 1), F.upper(surrogate_)).otherwise(capital)
+
+
+def in_format(kind: Column, value: Column, surrogates: Column) -> Column:
+    """The surrogates of the parts of ``value`` written the way it is: its separators, its case."""
+    whole = surrogates[0]
     digits = F.regexp_replace(value, "[^0-9]", "")
+    figures = F.regexp_replace(whole, "^[+]", "")
 
     # digit i of the value becomes digit i of the surrogate: count the digits up to each place
     def place(c: Column, i: Column) -> Column:
         upto = F.length(F.regexp_replace(F.substr(value, F.lit(1), i + 1), "[^0-9]", ""))
-        return F.when(c.rlike("[0-9]"), F.substr(norm_surrogate, upto, F.lit(1))).otherwise(c)
+        return F.when(c.rlike("[0-9]"), F.substr(figures, upto, F.lit(1))).otherwise(c)
 
-    numbers = F.array_join(F.transform(F.split(value, ""), place), "")
-    tail = F.substr(norm_surrogate, F.length(digits) + 1)
-    cased = F.when(F.upper(value) == value, F.upper(norm_surrogate)).when(kind == "person", F.initcap(norm_surrogate)).otherwise(norm_surrogate)
-    return F.when(kind.isin("card", "phone", "ssn"), F.concat(numbers, tail)).when(kind == "ip", norm_surrogate).otherwise(cased)
+    numbers = F.concat(F.array_join(F.transform(F.split(value, ""), place), ""), F.substr(figures, F.length(digits) + 1))
+    words = F.split(value, "\x20")
+    names = F.zip_with(F.slice(words, F.lit(2), F.size(words) - 1), surrogates, _cased)
+    person = F.concat_ws(" ", words[0], F.array_join(names, " "))
+    mail = F.when(F.upper(value) == value, F.upper(whole)).otherwise(whole)
+    return F.when(kind.isin("card", "phone", "ssn"), numbers).when(kind == "ip", whole).when(kind == "person", person).otherwise(mail)
 
 
 def distinct_surrogates(entities: DataFrame, secret: str, name: str = "pii-map") -> DataFrame:
@@ -153,7 +199,8 @@ def distinct_surrogates(entities: DataFrame, secret: str, name: str = "pii-map")
     known, done, draw = pending, None, 0
     claims = Window.partitionBy("kind", "surrogate").orderBy("norm")
     while True:
-        drawn = pending.withColumn("surrogate", surrogate(secret, F.col("kind"), F.col("norm"), F.lit(draw)))
+        drawn = pending.withColumn("_h", _digest(secret, F.col("kind"), F.col("norm"), F.lit(draw)))
+        drawn = drawn.withColumn("surrogate", surrogate(secret, F.col("kind"), F.col("norm"), F.lit(draw), F.col("_h"))).drop("_h")
         drawn = drawn.withColumn("_claim", F.row_number().over(claims))
         blocked = known.select("kind", F.col("norm").alias("surrogate"))
         if done is not None:
@@ -167,11 +214,13 @@ def distinct_surrogates(entities: DataFrame, secret: str, name: str = "pii-map")
         draw += 1
 
 
-def replace_private(docs: DataFrame, secret: str = "volquery", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, text`` with surrogates, and the number of entities of each kind (``n_email`` ...).
+def replace_private(docs: DataFrame, secret: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, text`` with surrogates, and the number of entities of each kind (``n_email`` ...).  Surrogates
+    depend on ``secret`` alone, besides what they replace and the draws that clash.
 
     One row per input row.  Null texts stay null, texts without entities are untouched to the last
-    character; repeated rows and copies get the same text.  Only texts with entities are shuffled, by a
+    character; repeated rows and copies get the same text; texts of any length are taken whole; of entities
+    that draw the same surrogate the first in order keeps it; an empty table gives no rows.  Only texts with entities are shuffled, by a
     hash of the text, so copies share one entry of the lookup and adaptive execution can split them."""
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     some = rows.where(holds(F.col("_text")))
@@ -179,10 +228,13 @@ def replace_private(docs: DataFrame, secret: str = "volquery", key: str = "doc_i
     listed = some.select(F.md5(F.col("_text").cast("binary")).alias("_hash"), hits.alias("_hits")).groupBy("_hash").agg(F.first("_hits").alias("_hits"))
     listed = cut(listed, "pii-hits")
     each = listed.select("_hash", F.posexplode("_hits").alias("_i", "_value"))
-    each = each.withColumn("kind", kind_of(F.col("_value"))).withColumn("norm", normal(F.col("kind"), F.col("_value")))
-    each = cut(each, "pii-each")
+    each = each.withColumn("kind", kind_of(F.col("_value")))
+    each = each.select("_hash", "_i", "_value", F.col("kind").alias("_kind"), F.posexplode(parts_of(F.col("kind"), F.col("_value"))).alias("_j", "_part"))
+    each = cut(each.select("_hash", "_i", "_value", "_kind", "_j", "_part.kind", "_part.norm"), "pii-each")
     names = cut(distinct_surrogates(each.select("kind", "norm").distinct(), secret), "pii-names")
-    written = each.join(names, ["kind", "norm"]).select("_hash", F.struct("_i", in_format(F.col("kind"), F.col("_value"), F.col("surrogate")).alias("new"), "kind").alias("_new"))
+    whole = each.join(names, ["kind", "norm"]).groupBy("_hash", "_i").agg(F.first("_value").alias("_value"), F.first("_kind").alias("kind"), F.sort_array(F.collect_list(F.struct("_j", "surrogate"))).alias("_parts"))  # two at most
+    new = in_format(F.col("kind"), F.col("_value"), F.transform("_parts", lambda x: x["surrogate"]))
+    written = whole.select("_hash", F.struct("_i", new.alias("new"), "kind").alias("_new"))
     by_text = cut(written.groupBy("_hash").agg(F.sort_array(F.collect_list("_new")).alias("_news")), "pii-texts")  # of one text
     joined = some.withColumn("_hash", F.md5(F.col("_text").cast("binary"))).join(by_text, "_hash")
     pieces = F.split("_text", ANY, -1)

@@ -44,7 +44,8 @@ def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_private(table(spark, sf_dir, "documents"))
+    # a real corpus sets its own; the tables here are invented
+    return replace_private(table(spark, sf_dir, "documents"), spark.conf.get("spark.volquery.privacy.key", "invented tables"))
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
