@@ -9,7 +9,7 @@ def test_defaults():
     cfg = JobConfig()
     assert (cfg.patch, cfg.block, cfg.overlap, cfg.batch_size) == ((64, 64, 64), (256, 256, 256), 10, 32)
     assert cfg.halo == 5 and cfg.normalize == "percentile" and cfg.clip_bounds is None
-    assert not cfg.use_compile and cfg.output_denormalize and cfg.stride == (54, 54, 54)
+    assert cfg.output_denormalize and cfg.stride == (54, 54, 54)
 
 
 @pytest.mark.parametrize("patch, expected", [((64, 64, 64), 8), ((16, 16, 16), 2), ((6, 6, 6), 1)])
@@ -23,7 +23,7 @@ def test_blend_halo_follows_the_patch(patch, expected):
         {"patch": (0, 16, 16)}, {"block": (32, 32)}, {"overlap": 16}, {"overlap": -1}, {"block": (8, 32, 32)}, {"seam_mode": "average"}, {"trim_voxels": None}, {"trim_voxels": -1},
         {"overlap": 3}, {"seam_mode": "blend", "min_blend_weight": 0.0}, {"seam_mode": "blend", "min_blend_weight": 1.5}, {"seam_mode": "blend", "overlap": 0, "trim_voxels": None}, {"halo": -1},
         {"norm_lower": 50.0, "norm_upper": 50.0}, {"norm_upper": 101.0}, {"normalize": "global", "norm_lower": 9.0, "norm_upper": 1.0}, {"clip_norm": (1.0, 0.0)}, {"clip_norm": (1.0,)},
-        {"eps": 0.0}, {"batch_size": 0}, {"max_inflight_batches": 0}, {"devices": []}, {"normalize": "minmax"},
+        {"eps": 0.0}, {"batch_size": 0}, {"normalize": "minmax"},
     ],
 )
 def test_rejects(bad):
@@ -42,14 +42,6 @@ def test_warns(more, text):
         JobConfig(**(SMALL | more))
 
 
-@pytest.mark.parametrize("devices", [["cuda:0"], ["cuda:0", "cuda:1"]])
-@pytest.mark.parametrize("mode, safe", [("reduce-overhead", "default"), ("max-autotune", "max-autotune-no-cudagraphs")])
-def test_compile_modes_are_made_safe(devices, mode, safe):
-    with pytest.warns(RuntimeWarning, match="not safe"):
-        assert JobConfig(**SMALL, use_compile=True, compile_mode=mode, devices=devices).compile_mode == safe
-    assert JobConfig(**SMALL, use_compile=True, compile_mode=mode, devices=["cpu"]).compile_mode == mode
-
-
 @pytest.mark.parametrize("clip, bounds", [(False, None), (True, (0.0, 1.0)), ((0, 5), (0, 5))])
 def test_clip_bounds(clip, bounds):
     assert JobConfig(**SMALL, clip_norm=clip).clip_bounds == bounds

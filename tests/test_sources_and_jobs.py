@@ -142,7 +142,7 @@ def test_multi_head_job(spark, tmp_path, rows):
     write_json(spark, str(root / ".zattrs"), metadata.image_metadata("in", 2, [(2, 2, 2)], (1.0, 0.5, 0.5), (1, 1, *SHAPE), (1, 1, 8, 8, 8)))
     (tmp_path / "p").mkdir()
     np.savez(tmp_path / "p" / "S7_processed_2024-01-01_percentiles.npz", combined_percentiles=np.array([[0.0, 70000.0]]))
-    job = heads_args(["--source", str(root / "0"), "--percentiles", str(tmp_path / "p"), "--output", str(tmp_path / "o"), "--heads", "soma", "axon", "--sample", "S7", "--patch", "6", "6", "6", "--overlap", "2", "--block", "8", "8", "8"])
+    job, _ = heads_args(["--source", str(root / "0"), "--percentiles", str(tmp_path / "p"), "--output", str(tmp_path / "o"), "--heads", "soma", "axon", "--sample", "S7", "--patch", "6", "6", "6", "--overlap", "2", "--block", "8", "8", "8"])
     model = shared_expression(lambda v: v, [lambda e: e, lambda e: 1.0 - e])
     result, written = run_heads(spark, job, model)
     assert result.shape == SHAPE and set(written) == {"soma", "axon"}

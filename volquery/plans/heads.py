@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import argparse
-from dataclasses import dataclass
+from dataclasses import MISSING, dataclass, fields
+from typing import Any, get_type_hints
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from ..config import JobConfig
 from ..functions.scalars import sample_id
 from ..operators.metadata import pyramid_spec
-from ..operators.models import Model
+from ..operators.models import Model, load_model
 from ..sources.json_files import pyramid_attributes
 from ..sources.lookups import read_percentiles, sample_bounds
 from ..sources.volumes import open_volume
@@ -29,9 +30,9 @@ class HeadsJob:
     channel: int = 0
     sample: str | None = None
     form: str = "voxels"
-    patch: tuple[int, int, int] = (64, 64, 64)
-    overlap: int = 10
-    block: tuple[int, int, int] = (256, 256, 256)
+    patch: tuple[int, int, int] = (128, 128, 128)
+    overlap: int = 16
+    block: tuple[int, int, int] = (512, 512, 512)
     min_blend_weight: float = 0.05
     batch_size: int = 32
 
@@ -64,19 +65,32 @@ def run_heads(spark: SparkSession, job: HeadsJob, model: Model, t_idx: int = 0,
     return result, written
 
 
-def parse_args(argv: list[str] | None = None) -> HeadsJob:
+def parse_args(argv: list[str] | None = None) -> tuple[HeadsJob, argparse.Namespace]:
+    """The job, and what else the command line says: model, weights and write mode."""
     p = argparse.ArgumentParser(prog="volquery-heads")
-    p.add_argument("--source", required=True)
-    p.add_argument("--percentiles", required=True)
-    p.add_argument("--output", required=True)
-    p.add_argument("--heads", nargs="+", required=True)
-    p.add_argument("--channel", type=int, default=0)
-    p.add_argument("--sample")
-    p.add_argument("--form", choices=["voxels", "chunks"], default="voxels")
-    p.add_argument("--patch", type=int, nargs=3, default=[64, 64, 64])
-    p.add_argument("--overlap", type=int, default=10)
-    p.add_argument("--block", type=int, nargs=3, default=[256, 256, 256])
-    p.add_argument("--min-blend-weight", type=float, default=0.05)
-    p.add_argument("--batch-size", type=int, default=32)
-    a = vars(p.parse_args(argv))
-    return HeadsJob(**(a | {"patch": tuple(a["patch"]), "block": tuple(a["block"])}))
+    kinds = get_type_hints(HeadsJob)
+    for f in fields(HeadsJob):
+        how: dict[str, Any] = {"required": True} if f.default is MISSING else {"default": f.default}
+        if f.name == "heads":
+            how["nargs"] = "+"
+        elif isinstance(f.default, tuple):
+            how |= {"type": int, "nargs": len(f.default)}
+        elif kinds[f.name] in (int, float):
+            how["type"] = kinds[f.name]
+        p.add_argument("--" + f.name.replace("_", "-"), **how)
+    p.add_argument("--model-type", default="identity")
+    p.add_argument("--weights")
+    p.add_argument("--mode", choices=["errorifexists", "overwrite", "append"], default="errorifexists")
+    args = p.parse_args(argv)
+    values = {f.name: getattr(args, f.name) for f in fields(HeadsJob)}
+    return HeadsJob(**{k: tuple(v) if k in ("patch", "block") else v for k, v in values.items()}), args
+
+
+def main(argv: list[str] | None = None) -> None:
+    job, args = parse_args(argv)
+    spark = SparkSession.builder.appName("volquery-heads").getOrCreate()
+    run_heads(spark, job, load_model(args.model_type, args.weights), mode=args.mode)
+
+
+if __name__ == "__main__":
+    main()
