@@ -1,6 +1,6 @@
 """Quality rules: plain counts, then a hashed n-gram logistic regression against a fixed threshold.
 
-The model sees averages of hashed word unigrams, word bigrams and byte 4-grams, so a text's logit is a
+The model sees averages of hashed word unigrams, word bigrams and character 4-grams, so a text's logit is a
 sum of mean weights and whole texts of any length are scored in one stream of Arrow batches.
 """
 
@@ -19,6 +19,7 @@ from .shared import cut, row_slices
 
 BUCKETS = 1 << 15  # of each kind
 KINDS = 3
+CHARS = 4  # code points of a character n-gram
 #: Bound on labelled rows used in training: the first by a hash of the key.
 MAX_TRAIN = 3000
 MIN_WORDS = 50
@@ -31,6 +32,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(49)).astype(np.int64)  # 15 bits
 
 
+def code_points(p: Profile) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each code point (its UTF-8 bytes), and its row."""
+    starts = np.flatnonzero((p.data & 0xC0) != 0x80)
+    size = np.diff(np.append(starts, len(p.data)))
+    padded = np.concatenate([p.data, np.zeros(4, np.uint8)]).astype(np.uint64)
+    value = padded[starts]
+    for i in range(1, 4):
+        value |= np.where(size > i, padded[starts + i] << np.uint64(8 * i), np.uint64(0))
+    return value, p.row_of_byte[starts]
+
+
 def grams(p: Profile) -> list[tuple[np.ndarray, np.ndarray]]:
     """(row, bucket) of every n-gram, for each kind."""
     import xxhash
@@ -39,15 +51,14 @@ def grams(p: Profile) -> list[tuple[np.ndarray, np.ndarray]]:
     h = word_hash[p.codes] if len(p.codes) else np.zeros(0, np.uint64)
     inside = p.row_of_word[1:] == p.row_of_word[:-1]
     pairs = (h[:-1] * np.uint64(31) + h[1:])[inside]
-    d = p.data.astype(np.uint32)
-    if len(d) >= 4:
-        four = d[:-3] | (d[1:-2] << 8) | (d[2:-1] << 16) | (d[3:] << 24)
-        row = p.row_of_byte[:-3]
-        whole = row == p.row_of_byte[3:]
-        four, row = four[whole], row[whole]
-    else:
-        four, row = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    return [(p.row_of_word, _mix(h)), (p.row_of_word[1:][inside], _mix(pairs) + BUCKETS), (row, _mix(four.astype(np.uint64)) + 2 * BUCKETS)]
+    chars, row = code_points(p)
+    n = max(0, len(chars) - CHARS + 1)
+    four = np.zeros(n, np.uint64)
+    for i in range(CHARS):
+        four = four * np.uint64(0x9E3779B97F4A7C15) + chars[i : i + n]
+    whole = row[:n] == row[CHARS - 1 :] if n else np.zeros(0, bool)
+    four, row = four[whole], row[:n][whole]
+    return [(p.row_of_word, _mix(h)), (p.row_of_word[1:][inside], _mix(pairs) + BUCKETS), (row, _mix(four) + 2 * BUCKETS)]
 
 
 @dataclass
@@ -143,7 +154,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     """Counts and verdict for every row: ``key, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, probability, kept``.
 
-    Null and empty texts have no words and fail.  Null keys and labels are not trained on; of several
+    Null and empty texts have no words and fail; texts of any length are counted and scored whole; an empty
+    table gives no rows.  Null keys and labels are not trained on; of several
     labels of a key the mean counts, 1 from a half on; repeated rows are judged each.  Without labels of
     both kinds only the plain rules decide."""
     chosen = labels.select(F.col(key).alias("_key"), F.col(label).alias("_label")).where("_key IS NOT NULL AND _label IS NOT NULL")

@@ -31,12 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local default only where the cluster names none."""
+    """The folder all executors share; a default only in local mode, an error on a cluster that names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = current.get() if current.isDefined() else None
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster must name a folder its executors share in spark.checkpoint.dir")
         named = "/tmp/checkpoints/volquery"
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
