@@ -7,6 +7,7 @@ from volquery.cli import config_from, parse_args
 from volquery.config import JobConfig
 from volquery.operators import metadata
 from volquery.operators.models import MODELS, shared_expression
+from volquery.operators.tensor import to_chunks, to_voxels
 from volquery.plans.job import build_pyramid, run
 from volquery.sources.json_files import metrics_samples, pyramid_attributes, read_json, write_json, write_metrics
 from volquery.sources.lookups import read_gpu_csv, read_percentiles, sample_bounds
@@ -153,3 +154,21 @@ def test_multi_head_job(spark, tmp_path, rows):
         run_heads(spark, job, MODELS.load("identity"))
     with pytest.raises(ValueError, match="single plane"):
         run_heads(spark, job, model, c_idx=1)
+
+
+@pytest.mark.parametrize("model", ["affine", "patch-demean"])
+def test_chunk_jobs_equal_voxel_jobs(spark, tmp_path, model):
+    """Dense blocks in and out, with and without stated extents, give the voxels of the voxel job."""
+    rng = np.random.default_rng(6)
+    rows = [(0, 0, z, y, x, float(rng.integers(1, 60000))) for z in range(13) for y in range(11) for x in range(9)]
+    voxels = spark.createDataFrame(rows, "t int, c int, z long, y long, x long, p double")
+    to_chunks(voxels, (5, 4, 9)).write.parquet(str(tmp_path / "in"))
+    cfg = JobConfig(patch=(6, 6, 6), overlap=2, trim_voxels=1, block=(8, 8, 8), normalize="global", norm_lower=0.0, norm_upper=65535.0)
+    run(spark, voxels, str(tmp_path / "v"), cfg, model)
+    want = {(r.z, r.y, r.x): r.v for r in spark.read.parquet(str(tmp_path / "v")).collect()}
+    for i, more in enumerate(({}, {"shape": [13, 11, 9]})):
+        run(spark, {"path": str(tmp_path / "in"), "form": "chunks", **more}, str(tmp_path / f"c{i}"), cfg, model)
+        out = spark.read.parquet(str(tmp_path / f"c{i}"))
+        assert "data" in out.columns and out.count() == 8  # a row for each block
+        got = {(r.z, r.y, r.x): r.v for r in to_voxels(out, "v").collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 1e-3 + 1e-5 * abs(want[k]) for k in want)

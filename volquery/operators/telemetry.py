@@ -60,9 +60,12 @@ def keep_last(samples: DataFrame, n: int | None, by: Sequence[str] = ("series",)
 
 
 def first_sample_zero(samples: DataFrame, value: str = "value", by: Sequence[str] = ("series",), order: Sequence[str] = ("ts",), out: str = "value") -> DataFrame:
-    """The first processor sample of a series is meaningless and reads 0."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return samples.withColumn(out, F.when(F.row_number().over(w) == 1, F.lit(0.0)).otherwise(F.col(value)))
+    """The first processor sample of a series is meaningless and reads 0.  Firsts are found by an aggregate
+    that combines before its shuffle and has one row a series, so a hot series fills no single task; samples
+    that tie for the first all read 0, samples without a series keep their values."""
+    firsts = samples.groupBy(*by).agg(F.min(F.struct(*order)).alias("_first"))
+    joined = samples.join(firsts, list(by), "left")
+    return joined.withColumn(out, F.when(F.struct(*order) == F.col("_first"), F.lit(0.0)).otherwise(F.col(value))).drop("_first")
 
 
 def cpu_per_core(percent: Column, cores: int) -> Column:

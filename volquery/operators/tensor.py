@@ -41,6 +41,14 @@ def to_voxels(chunks: DataFrame, value: str = "p", keys: tuple[str, ...] = ()) -
     )
 
 
+def chunk_extents(chunks: DataFrame) -> tuple[int, int, int]:
+    """Extents of a dense plane of chunks that starts at 0, from their corners alone."""
+    row = chunks.agg(*[F.max(F.col(f"{a}0") + F.col(f"n{a}")) for a in "zyx"]).first()
+    if row[0] is None:
+        raise ValueError("the plane has no chunks")
+    return tuple(int(v) for v in row)
+
+
 def run_block(volume: np.ndarray, cores: tuple, wides: tuple, cfg: JobConfig, model: Model) -> np.ndarray:
     """``(channels, z, y, x)`` of a block's core from its widened voxels.
 

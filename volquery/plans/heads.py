@@ -15,7 +15,6 @@ from ..operators.metadata import pyramid_spec
 from ..operators.models import Model, load_model
 from ..sources.json_files import pyramid_attributes
 from ..sources.lookups import read_percentiles, sample_bounds
-from ..sources.volumes import open_volume
 from .job import JobResult, build_pyramid, run
 
 
@@ -55,8 +54,7 @@ def run_heads(spark: SparkSession, job: HeadsJob, model: Model, t_idx: int = 0,
         patch=job.patch, overlap=job.overlap, block=job.block, batch_size=job.batch_size, seam_mode="blend", trim_voxels=None, min_blend_weight=job.min_blend_weight,
         normalize="global", norm_lower=low, norm_upper=high, output_denormalize=False,
     )
-    source = open_volume(spark, {"path": job.source, "form": job.form})
-    result = run(spark, source, [f"{job.output}/{h}/0" for h in job.heads], cfg, model, dtype="float32", mode=mode)
+    result = run(spark, {"path": job.source, "form": job.form}, [f"{job.output}/{h}/0" for h in job.heads], cfg, model, dtype="float32", mode=mode)
     attributes = pyramid_attributes(spark, job.source)
     spec = pyramid_spec(attributes) if attributes else None
     written = {}

@@ -15,10 +15,10 @@ from ..functions.grid import throughput_mb_s
 from ..functions.scalars import saturate
 from ..operators.metadata import image_metadata
 from ..operators.models import Model, load_model
-from ..operators.tensor import infer_chunks, to_chunks, to_voxels
+from ..operators.tensor import chunk_extents, infer_chunks, to_chunks, to_voxels
 from ..operators.voxels import downsample, infer, plane_shape, select_plane
 from ..sources.json_files import write_json, write_metrics
-from ..sources.volumes import open_volume, write_channels
+from ..sources.volumes import open_chunks, open_volume, parse_spec, write_channels
 
 LOG = logging.getLogger(__name__)
 
@@ -42,16 +42,31 @@ def plan(spark: SparkSession, source: DataFrame, cfg: JobConfig, model: Model, d
     return voxels.select("z", "y", "x", "channel", saturate(F.col("v"), dtype).alias("v")), shape
 
 
+def plan_chunks(chunks: DataFrame, cfg: JobConfig, model: Model, dtype: str = "float32", shape: tuple[int, int, int] | None = None) -> tuple[DataFrame, tuple[int, int, int]]:
+    """``channel, z0, y0, x0, nz, ny, nx, data`` of one plane, and its extents: dense blocks in, dense blocks
+    out, with any model.  Voxels are never rows; the one shuffle carries the parts of widened blocks."""
+    plane = chunks.where((F.col("t") == cfg.t_idx) & (F.col("c") == cfg.c_idx))
+    shape = shape or chunk_extents(plane)
+    return infer_chunks(plane, cfg, model, shape).withColumn("data", F.transform("data", lambda v: saturate(v, dtype))), shape
+
+
 def run(spark: SparkSession, source: DataFrame | str | dict[str, Any], sinks: list[str] | str, cfg: JobConfig, model: Model | str, weights: str | None = None, dtype: str = "float32", metrics: str | None = None, mode: str = "errorifexists", itemsize: int = 2) -> JobResult:
-    """Channel n of the model goes to sink n.  A failed task fails the job, so no output is silently
-    incomplete; the number of channels is checked before anything is written."""
+    """Channel n of the model goes to sink n, in the form of the source: chunk rows of a specification with
+    ``"form": "chunks"``, voxel rows of any other source.  A failed task fails the job, so no output is
+    silently incomplete; the number of channels is checked before anything is written."""
     sinks = [sinks] if isinstance(sinks, str) else list(sinks)
     model = load_model(model, weights) if isinstance(model, str) else model
     if model.channels != len(sinks):
         raise ValueError(f"the model has {model.channels} channels, the job names {len(sinks)} stores")
     started = time.perf_counter()
-    frame = source if isinstance(source, DataFrame) else open_volume(spark, source)
-    result, shape = plan(spark, frame, cfg, model, dtype)
+    source = source if isinstance(source, DataFrame) else parse_spec(spark, source)
+    if isinstance(source, DataFrame):
+        result, shape = plan(spark, source, cfg, model, dtype)
+    elif source.get("form") == "chunks":
+        chunks, stated = open_chunks(spark, source)
+        result, shape = plan_chunks(chunks, cfg, model, dtype, stated)
+    else:
+        result, shape = plan(spark, open_volume(spark, source), cfg, model, dtype)
     result = result.persist() if len(sinks) > 1 else result
     try:
         if len(sinks) > 1:
@@ -71,6 +86,7 @@ def run(spark: SparkSession, source: DataFrame | str | dict[str, Any], sinks: li
 def build_pyramid(spark: SparkSession, store: str, root: str, name: str, factors: list[tuple[int, int, int]], levels: int, voxel: tuple[float, float, float], chunk: tuple[int, int, int, int, int] = (1, 1, 64, 64, 64)) -> dict[str, Any]:
     """Mean pyramid of a written store, each level from the one before, with its attributes."""
     base = spark.read.parquet(store)
+    base = to_voxels(base, "v") if "data" in base.columns else base
     shape = (1, 1, *plane_shape(base))
     attributes = image_metadata(name, levels, factors, voxel, shape, chunk)
     current = base

@@ -21,6 +21,20 @@ def parse_spec(spark: SparkSession, spec: str | dict[str, Any]) -> dict[str, Any
     return read_json(spark, spec)
 
 
+CHUNK_COLUMNS = ("t", "c", "z0", "y0", "x0", "nz", "ny", "nx", "data")
+
+
+def open_chunks(spark: SparkSession, spec: str | dict[str, Any]) -> tuple[DataFrame, tuple[int, int, int] | None]:
+    """Chunk rows of the volume that a specification with ``"form": "chunks"`` names, as they are stored,
+    and the extents if it states them (``"shape": [z, y, x]``)."""
+    spec = parse_spec(spark, spec)
+    frame = spark.read.format(spec.get("driver", "parquet")).options(**spec.get("options", {})).load(spec["path"])
+    missing = set(CHUNK_COLUMNS) - set(frame.columns)
+    if missing:
+        raise ValueError(f"the volume lacks {sorted(missing)}")
+    return frame.select(*CHUNK_COLUMNS), tuple(spec["shape"]) if "shape" in spec else None
+
+
 def open_volume(spark: SparkSession, spec: str | dict[str, Any]) -> DataFrame:
     """``t, c, z, y, x, p`` rows of the volume a specification names.
 
@@ -55,12 +69,3 @@ def write_channels(rows: DataFrame, paths: list[str], mode: str = "errorifexists
         raise ValueError(f"the model gives channels {found}, the job names {len(paths)} stores")
     for channel, path in enumerate(paths):
         rows.where(F.col("channel") == channel).drop("channel").write.mode(mode).parquet(path)
-
-
-def write_pyramid(levels: list[DataFrame], root: str, attributes: dict[str, Any], mode: str = "overwrite") -> None:
-    """Levels under ``root/1`` and on, and the group's attributes."""
-    from .json_files import write_json
-
-    for i, level in enumerate(levels, start=1):
-        level.write.mode(mode).parquet(f"{root}/{i}")
-    write_json(levels[0].sparkSession, f"{root}/.zattrs", attributes)
