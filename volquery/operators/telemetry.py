@@ -38,7 +38,11 @@ def io_rate(samples: DataFrame, counter: str = "value", by: Sequence[str] = ("se
 
 
 def relative_time(samples: DataFrame, ts: str = "ts", out: str = "t", first: Column | None = None) -> DataFrame:
-    """Seconds since the first sample of the whole table (one row, joined back as a scalar)."""
+    """Seconds since ``first``, such as the start of a monitor, or else since the first sample of the whole
+    table (one row, joined back as a scalar)."""
+    if first is not None:
+        since = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(first.cast("timestamp"))
+        return samples.withColumn(out, since / F.lit(1e6))
     start = samples.agg(F.min(ts).alias("_start"))
     joined = samples.crossJoin(F.broadcast(start))  # a single row
     return joined.withColumn(out, (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_start").cast("timestamp"))) / F.lit(1e6)).drop("_start")

@@ -485,6 +485,23 @@ def relative_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.relative_time(fixtures.event_samples(spark, sf_dir)).select("event_id", F.round("t", 6).alias("t"))
 
 
+@query(f"SELECT event_id, round((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) / 1e6, 6) AS t FROM ({_TS})")
+def monitor_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds since the start of a monitor."""
+    start = F.lit("2024-01-01 00:00:00").cast(fixtures.event_samples(spark, sf_dir).schema["ts"].dataType)
+    return telemetry.relative_time(fixtures.event_samples(spark, sf_dir), first=start).select("event_id", F.round("t", 6).alias("t"))
+
+
+@query("SELECT max(event_id // 100) + 1 AS nz, 10::BIGINT AS ny, 10::BIGINT AS nx FROM events")
+def chunk_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extents of a volume from the corners of its chunks."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    at = F.col("event_id")
+    voxels = e.select(F.floor(at / 100).cast("long").alias("z"), F.floor(at / 10).cast("long") % 10, (at % 10).alias("x"), F.col("value").alias("p")).toDF("z", "y", "x", "p")
+    chunks = to_chunks(voxels.withColumns({"t": F.lit(0), "c": F.lit(0)}), (8, 5, 5))
+    return chunks.agg(*[F.max(F.col(f"{a}0") + F.col(f"n{a}")).alias(f"n{a}") for a in "zyx"])
+
+
 @query(f"SELECT series, list(event_id ORDER BY event_id) AS times, list(value ORDER BY event_id) AS values FROM (FROM ({_TS}) QUALIFY row_number() OVER (PARTITION BY series ORDER BY event_id DESC) <= {RING}) GROUP BY series")
 def series_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = telemetry.keep_last(fixtures.event_samples(spark, sf_dir), RING, order=("event_id",))  # a snapshot is a ring buffer
