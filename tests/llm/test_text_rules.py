@@ -58,6 +58,16 @@ def test_ownership_separates_copied_from_live(spark):
     assert dict(texts)[9] == "[SECRET]" and dict(texts)[0] == "[EXAMPLE SECRET]"
 
 
+def test_repositories_of_few_owners_make_an_example(spark):
+    rows = [(i, "token=" + "m4Zp6" * 4, "ab"[i % 2], f"repo{i}") for i in range(6)] + [(10 + i, "token=" + "w8Yc2nB5kLq7XrT3vH", "a", f"repo{i}") for i in range(6)]
+    rows += [(20 + i, "token=" + "h5Tn9" * 4, "ab"[i % 2], "one") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    found = {r.doc_id: r for r in secret_digest(secret_scan(docs)).collect()}
+    assert (found[0].n_copied, found[0].most_owners, found[0].most_repos) == (1, 2, 6)
+    assert (found[10].n_live, found[10].most_owners, found[10].most_repos) == (1, 1, 6)  # one owner, however many repositories
+    assert (found[20].n_live, found[20].n_copied, found[20].most_repos) == (0, 0, 2)
+
+
 def redact_column():
     from pyspark.sql import functions as F
 

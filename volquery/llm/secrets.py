@@ -1,8 +1,9 @@
 """Secret scan with corpus-wide ownership frequency.  Native column expressions only.
 
-Candidates are hashed and counted by distinct repositories and owners over the whole corpus.  A value
-many owners share is a copied example; a live-looking value that one owner alone has is reported as a
-secret of that owner, also where none of the plain patterns sees it.
+Candidates are hashed and counted by distinct repositories and owners over the whole corpus.  A value that
+many owners share, or some owners in many repositories, is a copied example; a live-looking value that one
+owner alone has, in however many repositories, is reported as a secret of that owner, also where none of the
+plain patterns sees it.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ KINDS = (("assign", ASSIGN, 1, 8), ("access", r"AKIA[A-Z0-9]+", 0, 16), ("hex",
 BASE_KINDS = 3
 #: Owners from which a value counts as a widely copied example.
 WIDE_OWNERS = 3
+#: Repositories from which a value of more than one owner does.
+WIDE_REPOS = 5
 PLACEHOLDER = r"(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxxx|test|0123456789|1234567890"
 MIN_DISTINCT_CHARS = 10
 
@@ -72,19 +75,22 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"), F.sum("n").alias("n_uses"))
 
 
-def secret_scan(docs: DataFrame, key: str = "doc_id", owner: str = "source", repo: tuple[str, ...] = ("source", "lang"), text: str = "text", wide_owners: int = WIDE_OWNERS) -> DataFrame:
+def secret_scan(docs: DataFrame, key: str = "doc_id", owner: str = "source", repo: tuple[str, ...] = ("source", "lang"), text: str = "text", wide_owners: int = WIDE_OWNERS, wide_repos: int = WIDE_REPOS) -> DataFrame:
     """One row per input row: ``key, spans``, an array of ``struct(start, kind, stop, hash, verdict,
     n_owners, n_repos)`` by start, then kind.
 
     Base kinds (``assign``, ``access``, ``hex``) always stay.  An ``owned`` span is added where a bare
     live-looking run meets no base span and one owner alone has its value.  ``verdict`` is ``copied``
-    for values of ``wide_owners`` or more, ``live`` for live-looking values of one owner, else
-    ``shared``.  Null texts have no spans; repeated rows are rows; a null owner is one owner."""
+    for values of ``wide_owners`` owners or more, or of at least two owners in ``wide_repos`` repositories,
+    ``live`` for live-looking values of one owner, else ``shared``.  Null and empty texts have no spans;
+    texts of any length are read whole, in one pass of their row; spans that start together are ordered by
+    kind; repeated rows are rows, and count once among owners and repositories; a null owner is one owner; an
+    empty table gives an empty one."""
     found = scan(docs, key, owner, list(repo), text)
     each = cut(spans(found), "secret-spans")
     owners = cut(ownership(each), "secret-owners")
     joined = each.join(owners, "hash")
-    verdict = F.when(F.col("n_owners") >= wide_owners, "copied").when((F.col("n_owners") == 1) & F.col("live"), "live").otherwise("shared")
+    verdict = F.when((F.col("n_owners") >= wide_owners) | ((F.col("n_owners") > 1) & (F.col("n_repos") >= wide_repos)), "copied").when((F.col("n_owners") == 1) & F.col("live"), "live").otherwise("shared")
     joined = joined.withColumn("verdict", verdict).where((F.col("kind") < BASE_KINDS) | (F.col("verdict") == "live"))
     # added spans must not meet a base span: compare with the furthest base end before and the next base start
     base_stop, base_start = F.when(F.col("kind") < BASE_KINDS, F.col("stop")), F.when(F.col("kind") < BASE_KINDS, F.col("start"))
@@ -130,9 +136,12 @@ def secret_digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
     def judged(verdict: str) -> Column:
         return F.size(F.filter("spans", lambda s: s["verdict"] == verdict)).cast("long")
 
+    def most(field: str) -> Column:
+        return F.coalesce(F.array_max(F.transform("spans", lambda s: s[field])), F.lit(0)).cast("long")
+
     return found.select(
         key, count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"),
-        count(3).alias("n_owned"), judged("live").alias("n_live"), judged("copied").alias("n_copied"),
+        count(3).alias("n_owned"), judged("live").alias("n_live"), judged("copied").alias("n_copied"), most("n_owners").alias("most_owners"), most("n_repos").alias("most_repos"),
     )
 
 
@@ -154,12 +163,12 @@ fit AS (SELECT r, owner, repo, kind, lo, lo + length(hit) AS hi, sha256(val) AS
     regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Za-z]') AND len(list_distinct(string_split(val, ''))) >= {MIN_DISTINCT_CHARS} AND NOT regexp_matches(val, '{PLACEHOLDER}') AS live
   FROM each WHERE length(val) >= CASE kind {" ".join(f"WHEN {i} THEN {k[3]}" for i, k in enumerate(KINDS))} END),
 known AS (SELECT * FROM fit WHERE kind < {BASE_KINDS} OR live),
-owners AS (SELECT hash, count(DISTINCT coalesce(owner, chr(0))) AS n FROM known GROUP BY hash),
-judged AS (SELECT k.*, CASE WHEN n >= {WIDE_OWNERS} THEN 'copied' WHEN n = 1 AND live THEN 'live' ELSE 'shared' END AS verdict FROM known k JOIN owners USING (hash)),
+owners AS (SELECT hash, count(DISTINCT coalesce(owner, chr(0))) AS n, count(DISTINCT repo) AS repos FROM known GROUP BY hash),
+judged AS (SELECT k.*, n, repos, CASE WHEN n >= {WIDE_OWNERS} OR n > 1 AND repos >= {WIDE_REPOS} THEN 'copied' WHEN n = 1 AND live THEN 'live' ELSE 'shared' END AS verdict FROM known k JOIN owners USING (hash)),
 kept AS (SELECT * FROM judged j WHERE kind < {BASE_KINDS} OR verdict = 'live' AND NOT EXISTS (FROM judged b WHERE b.r = j.r AND b.kind < {BASE_KINDS} AND b.lo < j.hi AND b.hi > j.lo)),
 named AS (SELECT *, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || lo || ':' || hi AS span FROM kept)
 SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
   sha256(coalesce(string_agg(span, ',' ORDER BY lo, kind) FILTER (kind < {BASE_KINDS}), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY lo, kind), '') AS spans,
-  count(*) FILTER (kind = 3) AS n_owned, count(*) FILTER (verdict = 'live') AS n_live, count(*) FILTER (verdict = 'copied') AS n_copied
+  count(*) FILTER (kind = 3) AS n_owned, count(*) FILTER (verdict = 'live') AS n_live, count(*) FILTER (verdict = 'copied') AS n_copied, coalesce(max(n), 0) AS most_owners, coalesce(max(repos), 0) AS most_repos
 FROM d LEFT JOIN named USING (r) GROUP BY r, doc_id
 """
