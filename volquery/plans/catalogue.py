@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import warnings
 from collections.abc import Callable
 
@@ -21,6 +19,7 @@ from ..operators.tensor import infer_chunks, to_chunks, to_voxels
 from ..operators.voxels import BLOCK, block_statistics, downsample, infer, normalize_blocks, patches_per_block, plane_shape, predictions, select_plane
 from ..sources import fixtures
 from ..sources.lookups import parse_gpu_rows, with_aliases
+from ..sources.scratch import scratch_folder
 from ..streaming.completeness import read_predictions, run_to_end, stitch_when_complete
 from . import oracle
 
@@ -561,14 +560,7 @@ def stream_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = voxels.groupBy("z").agg(F.sort_array(F.collect_list(F.struct((F.col("y") * 10 + F.col("x")).alias("cell"), "p"))).alias("v"))
     rows = cells.select(F.col("z").alias("block"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("patch"), "v")
     rows = rows.select("block", F.col("patch").cast("long").alias("patch"), F.lit(5).cast("long").alias("total"), F.transform("v", lambda s: s["cell"]).alias("cell"), F.transform("v", lambda s: s["p"] + F.col("patch")).alias("value"))
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("a cluster must name a folder its executors share in spark.checkpoint.dir")
-        base = f"{tempfile.gettempdir()}/volquery-stream"
-    root = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    root = scratch_folder(spark, "stream")
     rows.orderBy(F.xxhash64("block", "patch")).repartition(3).write.parquet(f"{root}/in")
     run_to_end(stitch_when_complete(read_predictions(spark, f"{root}/in")), f"{root}/state", f"{root}/out")
     return spark.read.parquet(f"{root}/out").select("block", "patches", "cell", F.round("value", 6).alias("value"))

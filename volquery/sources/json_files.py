@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import logging
+from collections.abc import Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,6 +61,23 @@ def write_metrics(spark: SparkSession, path: str, queues: Any, system: Any) -> b
         return False
 
 
+def write_samples(path: str, queues: DataFrame, queue_columns: Sequence[str], system: DataFrame, system_columns: Sequence[str], at: str = "t") -> None:
+    """The document that ``metrics_samples`` reads, of one row a sample instant and one column a series.  It is
+    one row: keep to what a monitor's ring buffer holds."""
+
+    def monitor(samples: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
+        rows = samples.agg(F.sort_array(F.collect_list(F.struct(F.col(at).alias("t"), *columns))).alias("s"))
+        series = {c: F.col(f"s.{c}").cast("array<double>") for c in columns}
+        times = F.col("s.t").cast("array<double>")
+        if name == "queue_monitor":
+            return rows.select(F.struct(times.alias("timestamps"), F.struct(*[v.alias(c) for c, v in series.items()]).alias("queues")).alias(name))
+        return rows.select(F.struct(times.alias("timestamps"), *[v.alias(c) for c, v in series.items()]).alias(name))
+
+    # a single row on either side
+    both = monitor(queues, queue_columns, "queue_monitor").crossJoin(monitor(system, system_columns, "system_monitor"))
+    both.write.json(path)
+
+
 def metrics_samples(spark: SparkSession, path: str) -> DataFrame:
     """``monitor, series, t, value`` of a metrics document: queue sizes and system counters."""
     numbers = "array<double>"
