@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align_tokenizers
 from .chat import ORACLE_SQL as CHAT_SQL
 from .chat import chat_digest, format_chat
 from .mixing import ORACLE_SQL as MIX_SQL
@@ -74,7 +75,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_simhash_dedup, op4_topk_search, op5_pii_surrogates, op6_mix_sources, op7_pack, op8_chat_format, op9_quality_classifier, op10_suffix_dedup)
+    f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_simhash_dedup, op4_topk_search, op5_pii_surrogates, op6_mix_sources, op7_pack, op8_chat_format, op9_quality_classifier, op10_suffix_dedup, op11_align_tokenizers)
 }
 ORACLES: dict[str, str] = {"op1_secret_scan": SECRETS_SQL, "op4_topk_search": TOPK_SQL, "op6_mix_sources": MIX_SQL, "op8_chat_format": CHAT_SQL}
