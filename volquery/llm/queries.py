@@ -12,6 +12,8 @@ from .chat import ORACLE_SQL as CHAT_SQL
 from .chat import chat_digest, format_chat
 from .mixing import ORACLE_SQL as MIX_SQL
 from .mixing import mix, word_sizes
+from .negatives import ORACLE_SQL as NEGATIVES_SQL
+from .negatives import hard_negatives
 from .packing import pack
 from .privacy import replace_private
 from .quality_classifier import classify
@@ -79,7 +81,12 @@ def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokenizers(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_simhash_dedup, op4_topk_search, op5_pii_surrogates, op6_mix_sources, op7_pack, op8_chat_format, op9_quality_classifier, op10_suffix_dedup, op11_align_tokenizers)
+    f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_simhash_dedup, op4_topk_search, op5_pii_surrogates, op6_mix_sources, op7_pack, op8_chat_format, op9_quality_classifier, op10_suffix_dedup, op11_align_tokenizers, op12_hard_negatives)
 }
-ORACLES: dict[str, str] = {"op1_secret_scan": SECRETS_SQL, "op4_topk_search": TOPK_SQL, "op6_mix_sources": MIX_SQL, "op8_chat_format": CHAT_SQL}
+ORACLES: dict[str, str] = {"op1_secret_scan": SECRETS_SQL, "op4_topk_search": TOPK_SQL, "op6_mix_sources": MIX_SQL, "op8_chat_format": CHAT_SQL, "op12_hard_negatives": NEGATIVES_SQL}
