@@ -21,6 +21,7 @@ from .quality_rules import quality_rules
 from .repeats import repeated_passages
 from .secrets import ORACLE_SQL as SECRETS_SQL
 from .secrets import secret_digest, secret_scan
+from .set_join import similar_sets
 from .shared import cut, table
 from .simhash import near_duplicates
 from .topk import ORACLE_SQL as TOPK_SQL
@@ -86,7 +87,11 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 50 == 0)
 
 
+def op13_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_sets(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_simhash_dedup, op4_topk_search, op5_pii_surrogates, op6_mix_sources, op7_pack, op8_chat_format, op9_quality_classifier, op10_suffix_dedup, op11_align_tokenizers, op12_hard_negatives)
+    f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_simhash_dedup, op4_topk_search, op5_pii_surrogates, op6_mix_sources, op7_pack, op8_chat_format, op9_quality_classifier, op10_suffix_dedup, op11_align_tokenizers, op12_hard_negatives, op13_ngram_jaccard)
 }
 ORACLES: dict[str, str] = {"op1_secret_scan": SECRETS_SQL, "op4_topk_search": TOPK_SQL, "op6_mix_sources": MIX_SQL, "op8_chat_format": CHAT_SQL, "op12_hard_negatives": NEGATIVES_SQL}
