@@ -38,7 +38,8 @@ def saturate(value: Column, dtype: str) -> Column:
     if kind == "decimal(20,0)":
         # the bounds of 64 bits are no doubles: cut first, then clip exactly
         whole = F.when(number >= 2.0**64, F.lit(str(high)).cast(kind)).when(number <= 0, F.lit(0).cast(kind))
-        return whole.otherwise(F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)).cast(kind))
+        # doubles from 2^53 on are whole, and may be beyond what floor can give
+        return whole.when(number >= 2.0**53, number.cast(kind)).otherwise(F.floor(number).cast(kind))
     if dtype == "int64":
         return F.when(number >= 2.0**63, F.lit(high)).when(number <= -(2.0**63), F.lit(low)).otherwise(number.cast("bigint"))
     return clip(number, float(low), float(high)).cast(kind)

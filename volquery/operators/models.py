@@ -13,7 +13,8 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
-from pyspark.sql import Column, Window
+from pyspark import SparkFiles
+from pyspark.sql import Column, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import probability
@@ -57,12 +58,27 @@ class Registry:
 MODELS = Registry()
 
 
-def load_model(name: str, weights: str | None = None) -> Model:
-    if weights is not None and not os.path.exists(weights):
-        raise FileNotFoundError(weights)
+def load_model(name: str, weights: str | None = None, spark: SparkSession | None = None) -> Model:
+    """The model, its weights fetched from wherever Spark reads files (``addFile``): a local path, a shared
+    folder or an object store.  Executors get the weights with the model, not by path."""
+    if weights is not None:
+        weights = fetched(spark, weights) if spark is not None else weights
+        if not os.path.exists(weights):
+            raise FileNotFoundError(weights)
     return MODELS.load(name, weights)
 
 
+def fetched(spark: SparkSession, path: str) -> str:
+    """The driver's copy of a file that Spark can read."""
+    if os.path.exists(path):
+        return path
+    try:
+        spark.sparkContext.addFile(path)
+    except Exception as error:
+        raise FileNotFoundError(path) from error
+    return SparkFiles.get(path.rsplit("/", 1)[-1])
+
+
 @MODELS.register("identity")
 def identity(weights: str | None = None) -> Model:
     return Model("pointwise", expression=lambda v, n: [v], tensor=lambda b: b)

@@ -11,17 +11,19 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import JobConfig
 from ..functions.grid import AxisBlock, Span, axis_starts, blend_ramp, kept_span, valid_size
 from .models import Model
+from .tiles import TILE, array_of, batch_of, is_binary, rows_of, saturated, tile_voxels
 
 CHUNK_SCHEMA = "t int, c int, z0 long, y0 long, x0 long, nz int, ny int, nx int, data array<float>"
 OUT_SCHEMA = "channel int, z0 long, y0 long, x0 long, nz int, ny int, nx int, data array<double>"
-_PART_SCHEMA = "k_z int, k_y int, k_x int, z0 long, y0 long, x0 long, nz int, ny int, nx int, data binary"
+_PART_SCHEMA = f"k_z int, k_y int, k_x int, {TILE}"
+OUT_TILES = f"channel int, {TILE}, clipped long"
 
 
 def to_chunks(voxels: DataFrame, chunk: tuple[int, int, int], keys: tuple[str, ...] = ("t", "c")) -> DataFrame:
@@ -34,7 +36,9 @@ def to_chunks(voxels: DataFrame, chunk: tuple[int, int, int], keys: tuple[str, .
 
 
 def to_voxels(chunks: DataFrame, value: str = "p", keys: tuple[str, ...] = ()) -> DataFrame:
-    """Chunk rows to voxel rows."""
+    """Chunk rows or tiles to voxel rows."""
+    if is_binary(chunks):
+        return tile_voxels(chunks, value, keys)
     each = chunks.select(*keys, "z0", "y0", "x0", "ny", "nx", F.posexplode("data").alias("i", value))
     return each.select(
         *keys, (F.col("z0") + F.expr("i div (ny * nx)")).alias("z"), (F.col("y0") + F.expr("(i div nx) % ny")).alias("y"), (F.col("x0") + F.expr("i % nx")).alias("x"), value
@@ -103,43 +107,64 @@ def run_block(volume: np.ndarray, cores: tuple, wides: tuple, cfg: JobConfig, mo
     return total[(slice(None), *crop)]
 
 
-def infer_chunks(chunks: DataFrame, cfg: JobConfig, model: Model, shape: tuple[int, int, int]) -> DataFrame:
-    """Output chunks (block cores) ``channel, z0, y0, x0, nz, ny, nx, data`` of one plane's chunk rows."""
+def _block(axis: int, k: int, cfg: JobConfig, shape: tuple[int, int, int]) -> AxisBlock:
+    n, b, h = shape[axis], cfg.block[axis], cfg.halo
+    core = (k * b, min(n, (k + 1) * b))
+    return AxisBlock(k, Span(*core), Span(max(0, core[0] - h), min(n, core[1] + h)))
+
+
+def block_parts(chunks: DataFrame, cfg: JobConfig, shape: tuple[int, int, int]) -> DataFrame:
+    """``k_z, k_y, k_x`` and TILE: each chunk cut into the parts that widened blocks need."""
 
-    def touching(axis: int, start: int, size: int) -> list:
+    def touching(axis: int, start: int, size: int) -> list[tuple[int, int, int]]:
         n, b, h = shape[axis], cfg.block[axis], cfg.halo
         first, last = max(0, (start - h) // b), min(-(-n // b) - 1, (start + size - 1 + h) // b)
-        blocks = [axis_block(axis, k) for k in range(first, last + 1)]
+        blocks = [_block(axis, k, cfg, shape) for k in range(first, last + 1)]
         return [(x.k, max(start, x.wide.start), min(start + size, x.wide.stop)) for x in blocks if x.wide.start < start + size and start < x.wide.stop]
 
-    def axis_block(axis: int, k: int) -> AxisBlock:
-        n, b, h = shape[axis], cfg.block[axis], cfg.halo
-        core = (k * b, min(n, (k + 1) * b))
-        return AxisBlock(k, Span(*core), Span(max(0, core[0] - h), min(n, core[1] + h)))
-
-    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                data = np.asarray(row.data, dtype=np.float32).reshape(row.nz, row.ny, row.nx)
-                origin = (row.z0, row.y0, row.x0)
-                out = []
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in rows_of(batch):
+                data, origin = array_of(row), (row["z0"], row["y0"], row["x0"])
                 for parts in itertools.product(*(touching(a, origin[a], data.shape[a]) for a in range(3))):
-                    cut = data[tuple(slice(lo - o, hi - o) for (_, lo, hi), o in zip(parts, origin))]
-                    out.append((*[k for k, _, _ in parts], *[lo for _, lo, _ in parts], *cut.shape, np.ascontiguousarray(cut).tobytes()))
-                if out:
-                    yield pd.DataFrame(out, columns=["k_z", "k_y", "k_x", "z0", "y0", "x0", "nz", "ny", "nx", "data"])
-
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        index = tuple(int(frame[c].iloc[0]) for c in ("k_z", "k_y", "k_x"))
-        blocks = [axis_block(a, k) for a, k in enumerate(index)]
-        volume = np.zeros([b.wide.stop - b.wide.start for b in blocks], dtype=np.float32)
-        for row in frame.itertuples(index=False):
-            part = np.frombuffer(row.data, dtype=np.float32).reshape(row.nz, row.ny, row.nx)
-            volume[tuple(slice(o - b.wide.start, o - b.wide.start + n) for o, n, b in zip((row.z0, row.y0, row.x0), part.shape, blocks))] = part
+                    piece = data[tuple(slice(lo - o, hi - o) for (_, lo, hi), o in zip(parts, origin))]
+                    yield batch_of([(*[k for k, _, _ in parts], *[lo for _, lo, _ in parts], *piece.shape, piece.dtype.str, piece.tobytes())], _PART_SCHEMA)
+
+    columns = ["z0", "y0", "x0", "nz", "ny", "nx", *(["dtype"] if is_binary(chunks) else []), "data"]
+    return chunks.select(*columns).mapInArrow(split, _PART_SCHEMA)
+
+
+def infer_tiles(chunks: DataFrame, cfg: JobConfig, model: Model, shape: tuple[int, int, int], dtype: str = "float32") -> DataFrame:
+    """``channel``, TILE and ``clipped``: the block cores of one plane's chunks or tiles, of the output type;
+    ``clipped`` counts the values beyond its range.  Blocks are Arrow buffers from end to end."""
+
+    def solve(name: tuple, group: pa.Table) -> pa.Table:
+        blocks = [_block(a, k.as_py(), cfg, shape) for a, k in enumerate(name)]
+        volume = None
+        for row in rows_of(group):
+            part = array_of(row)
+            volume = np.zeros([b.wide.stop - b.wide.start for b in blocks], part.dtype) if volume is None else volume
+            volume[tuple(slice(o - b.wide.start, o - b.wide.start + n) for o, n, b in zip((row["z0"], row["y0"], row["x0"]), part.shape, blocks))] = part
         result = run_block(volume, tuple(b.core for b in blocks), tuple(b.wide for b in blocks), cfg, model)
-        rows = [(i, *[b.core.start for b in blocks], *result.shape[1:], result[i].ravel()) for i in range(len(result))]
-        return pd.DataFrame(rows, columns=["channel", "z0", "y0", "x0", "nz", "ny", "nx", "data"])
+        rows = []
+        for i, values in enumerate(result):
+            out = saturated(values, dtype)
+            cut = 0 if out.dtype.kind == "f" else int(((values < np.iinfo(out.dtype).min) | (values > np.iinfo(out.dtype).max)).sum())
+            rows.append((i, *[b.core.start for b in blocks], *out.shape, out.dtype.str, out.tobytes(), cut))
+        return pa.Table.from_batches([batch_of(rows, OUT_TILES)])
+
+    return block_parts(chunks, cfg, shape).groupBy("k_z", "k_y", "k_x").applyInArrow(solve, OUT_TILES)
+
+
+def infer_chunks(chunks: DataFrame, cfg: JobConfig, model: Model, shape: tuple[int, int, int]) -> DataFrame:
+    """The same as rows with a list of doubles: ``channel, z0, y0, x0, nz, ny, nx, data``."""
 
-    parts = chunks.select("z0", "y0", "x0", "nz", "ny", "nx", "data").mapInPandas(split, _PART_SCHEMA)
-    return parts.groupBy("k_z", "k_y", "k_x").applyInPandas(solve, OUT_SCHEMA)
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [np.frombuffer(v.as_buffer(), np.float64) for v in batch.column("data")]
+            ends = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*values, np.zeros(0)])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=batch.schema.names)
 
+    tiles = infer_tiles(chunks, cfg, model, shape, "float64")
+    return tiles.select("channel", "z0", "y0", "x0", "nz", "ny", "nx", "data").mapInArrow(listed, OUT_SCHEMA)
