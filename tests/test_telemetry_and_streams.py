@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from volquery.functions.scalars import decoder_weights, saturate
-from volquery.operators import telemetry
+from volquery.operators import ordered, telemetry
 from volquery.streaming.completeness import PREDICTION_SCHEMA, read_predictions, run_to_end, sample_stream, stitch_when_complete
 
 
@@ -40,6 +40,44 @@ def test_small_telemetry(spark):
     assert samples.select(telemetry.cpu_per_core(F.lit(400.0), 8)).first()[0] == 50.0
 
 
+def long_series(spark, n=400):
+    rng = random.Random(3)
+    rows = [("hot", i, None if rng.random() < 0.3 else float(rng.randint(0, 50) * 2**20), i / 4 if i % 9 else (i - 1) / 4) for i in range(n)]
+    rows += [(None, i, float(i), float(i)) for i in range(7)] + [("one", 5, 3.0, 1.0), ("gaps", 1, None, 0.0), ("gaps", 900, None, 1.0), ("gaps", 901, 2.0**20, 2.0), ("gaps", 1000, 3 * 2.0**20, 3.0)]
+    rng.shuffle(rows)
+    return spark.createDataFrame(rows, "series string, i int, value double, t double"), rows
+
+
+@pytest.mark.parametrize("parts", [1, 5, 64])
+@pytest.mark.parametrize("window", [2, 9, 40])
+def test_one_series_over_many_ranges(spark, monkeypatch, parts, window):
+    """Ranges of fewer rows than the window reaches, and a series that nearly fills the table."""
+    monkeypatch.setattr(telemetry, "ranged", lambda s, by, order: ordered.ranged(s, by, order, parts))
+    monkeypatch.setattr(telemetry, "RING_ROWS", 10)
+    frame, rows = long_series(spark)
+    by = {}
+    for r in sorted(rows, key=lambda r: r[1]):
+        by.setdefault(r[0], []).append(r)
+    smooth, rate, kept = {}, {}, set()
+    for name, mine in by.items():
+        known, then = None, None
+        for at, (_, i, v, t) in enumerate(mine):
+            near = [x[2] for x in mine[max(0, at - window // 2) : at + window // 2 + 1] if x[2] is not None]
+            smooth[name, i] = sum(near) / len(near) if near else None
+            ok = v is not None and known is not None and then is not None and t > then
+            rate[name, i] = max(0.0, (v - known) / 2**20 / (t - then)) if ok else 0.0
+            known, then = v if v is not None else known, t
+        kept |= {(name, r[1]) for r in mine[-50:]}
+    got = {(r.series, r.i): r.smooth for r in telemetry.rolling_mean(frame, window, order=("i",)).collect()}
+    assert got.keys() == smooth.keys() and all(got[k] is None if v is None else got[k] == pytest.approx(v) for k, v in smooth.items())
+    assert {(r.series, r.i): pytest.approx(r.mib_s) for r in telemetry.io_rate(frame, order=("i",)).collect()} == rate
+    assert {(r.series, r.i) for r in telemetry.keep_last(frame, 50, order=("i",)).collect()} == kept
+    placed = ordered.numbered(ordered.ranged(frame, ["series"], ["i"], parts), ["series"], ["i"], "n").collect()
+    assert {(r.series, r.i): r.n for r in placed} == {(n, r[1]): at for n, mine in by.items() for at, r in enumerate(mine)}
+    if parts == 64:
+        assert len({r._part for r in placed if r.series == "hot"}) > 40
+
+
 @pytest.mark.parametrize("memory, kept", [([5, 7, 0, 0, 0, 0, 0], 3), ([0] * 7, 7), ([0, 0, 0, 0, 0, 3, 0], 6)])
 def test_idle_truncate(spark, memory, kept):
     rows = [(g, i, float(m)) for g in (0, 1) for i, m in enumerate(memory) if not (g == 1 and i == 6 and memory[5])]
