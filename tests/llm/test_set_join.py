@@ -9,8 +9,7 @@ import pytest
 
 from tests.llm.conftest import prose
 from volquery.llm import set_join
-from volquery.llm.set_join import INDEX, PROBE, Bands, Costs, forest_of, open_sets, picked, signatures, similar_sets
-from volquery.llm.similar import sketch
+from volquery.llm.set_join import INDEX, PROBE, Bands, Costs, forest_of, may_be_similar, open_sets, picked, signatures, similar_sets, sketch
 
 
 def shingles(text, width=5):
@@ -143,3 +142,18 @@ def test_forests_join_what_all_pairs_join():
 
         assert parts(zip(a.tolist(), b.tolist())) == parts(wanted) and len(a) < 20
         assert {i for pair in wanted for i in pair} <= set(open_sets(rows, 0.8).tolist())
+
+
+def test_sketches_rule_out_no_similar_pair():
+    rng = np.random.default_rng(9)
+    ruled = 0
+    for n in [3, 20, 300, 511, 513, 700, 3000] * 8:
+        x = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        gone = int(rng.integers(0, n // 3 + 1))
+        y = np.unique(np.concatenate([rng.permutation(x)[gone:], rng.integers(0, 1 << 62, int(rng.integers(0, gone + 1))).astype(np.uint64)]))
+        both = len(np.intersect1d(x, y))
+        alike = 100 * both >= 80 * (len(x) + len(y) - both)
+        open_ = may_be_similar(sketch(x), len(x), sketch(y), len(y), 80)
+        assert open_ or not alike
+        ruled += not open_
+    assert ruled > 5

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import cut, drop_cut, row_slices, small_batches
-from .similar import _mix, folded, may_be_similar, set_id, shingle_sets_of, similar, sketch
+from .similar import _mix, set_id, shingle_sets_of, similar
 
 WIDTH, PERCENT = 5, 80
 #: Documents sampled for the costs, the count from which a signature is listed, and the most that are.
@@ -35,6 +35,8 @@ WIDTH, PERCENT = 5, 80
 SAMPLE, COMMON, LISTED = 10_000, 4, 1 << 17
 #: Cost of a signature that the sample holds once more, and of an empty segment.
 PER_COUNT, EMPTY = 16, 4000
+#: Bits of the sketch of a set of up to so many tokens; larger sets have more.
+SKETCH_BITS, SKETCH_TOKENS = 1024, 512
 #: Tokens of the sets of one chunk of a group, and rounds in which members are compared with one of them.
 CHUNK_TOKENS, ROUNDS = 1 << 18, 2
 #: Rows of a group that are looked at together for its membership.
@@ -161,6 +163,26 @@ def signatures(hashes: np.ndarray, ends: np.ndarray, bands: Bands, costs: Costs
     return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """The parity of the number of tokens in each bucket.  Where two sketches differ, so do the sets: the
+    number of such buckets is at most the number of tokens in only one of them."""
+    bits = SKETCH_BITS << max(0, (len(tokens) - 1) // SKETCH_TOKENS).bit_length()
+    counts = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(words: np.ndarray, size: int) -> np.ndarray:
+    """The sketch of the same set with fewer buckets."""
+    return np.bitwise_xor.reduce(words.reshape(-1, size), axis=0)
+
+
+def may_be_similar(x: bytes, n_x: int, y: bytes, n_y: int, percent: int) -> bool:
+    one, two = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    size = min(len(one), len(two))
+    apart = int(np.bitwise_count(folded(one, size) ^ folded(two, size)).sum())
+    return (100 + percent) * apart <= (100 - percent) * (n_x + n_y)
+
+
 def _batches(batch: pa.RecordBatch, width: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
     for rows in row_slices(batch, "_text"):
         hashes, ends = shingle_sets_of(rows.column("_text"), width)
@@ -298,11 +320,12 @@ def whole_sets(texts: DataFrame, key: str, chosen: DataFrame, width: int) -> Dat
 def checked_pairs(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The rows of ``a, b`` whose sets are similar: what sketches do not rule out is checked whole."""
 
+    percent = round(similarity * 100)
+
     def open_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = zip(batch.column("of_a").to_pylist(), batch.column("of_b").to_pylist())
-            good = [may_be_similar(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8), similarity) for x, y in both]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            both = zip(*(batch.column(c).to_pylist() for c in ("of_a", "n_a", "of_b", "n_b")))
+            yield batch.select(["a", "b"]).filter(pa.array([may_be_similar(*r, percent) for r in both], pa.bool_()))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -310,11 +333,11 @@ def checked_pairs(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, similarit
             good = [similar(x[i].values.to_numpy().view(np.uint64), y[i].values.to_numpy().view(np.uint64), similarity) for i in range(batch.num_rows)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    def both(frame: DataFrame, table: DataFrame, column: str) -> DataFrame:
-        one, two = (table.select(F.col("_set").alias(c), F.col(column).alias(f"of_{c}")).hint("merge") for c in "ab")
-        return frame.join(one, "a").join(two, "b").select("a", "b", "of_a", "of_b")
+    def both(frame: DataFrame, table: DataFrame, column: str, *more: str) -> DataFrame:
+        one, two = (table.select(F.col("_set").alias(c), F.col(column).alias(f"of_{c}"), *[F.col(m).alias(f"{m}_{c}") for m in more]).hint("merge") for c in "ab")
+        return frame.join(one, "a").join(two, "b")
 
-    kept = cut(both(pairs, nodes, "sketch").mapInArrow(open_, "a bigint, b bigint"), "join-possible")
+    kept = cut(both(pairs, nodes, "sketch", "n").mapInArrow(open_, "a bigint, b bigint"), "join-possible")
     with small_batches(pairs.sparkSession):
         out = cut(both(kept, sets, "shingles").mapInArrow(check, "a bigint, b bigint"), "join-links")
     drop_cut(kept)
@@ -349,16 +372,16 @@ def _candidates(rows: pa.Table, similarity: float) -> Iterator[tuple[int, np.nda
 
 def open_sets(rows: pa.Table, similarity: float) -> np.ndarray:
     """Rows with a partner that sketches do not rule out."""
-    full = [np.frombuffer(x, np.uint8) for x in rows.column("sketch").to_pylist()]
-    least = min((len(x) for x in full if len(x)), default=1)
-    small = np.stack([folded(x, least) if len(x) else np.zeros(least, np.int64) for x in full])
-    small = small.astype(np.uint16 if small.max(initial=0) < 1 << 16 else np.int64)
-    known, size = np.array([len(x) > 0 for x in full]), small.sum(axis=1, dtype=np.int64)
+    percent = round(similarity * 100)
+    full = rows.column("sketch").to_pylist()
+    least = min(len(x) for x in full) // 8
+    small = np.stack([folded(np.frombuffer(x, np.uint64), least) for x in full])
+    n = rows.column("n").to_numpy().astype(np.int64)
     open_ = np.zeros(len(full), bool)
     for i, ahead in _candidates(rows, similarity):
-        both = np.minimum(small[i], small[ahead]).sum(axis=1, dtype=np.int64)
-        near = ahead[(both >= similarity * (size[i] + size[ahead] - both) - 1e-9) | ~known[ahead] | (not known[i])]
-        near = [j for j in near.tolist() if not (open_[i] and open_[j]) and may_be_similar(full[i], full[j], similarity)]
+        apart = np.bitwise_count(small[i] ^ small[ahead]).sum(axis=1, dtype=np.int64)
+        near = ahead[(100 + percent) * apart <= (100 - percent) * (n[i] + n[ahead])]
+        near = [j for j in near.tolist() if not (open_[i] and open_[j]) and may_be_similar(full[i], int(n[i]), full[j], int(n[j]), percent)]
         open_[near] = True
         open_[i] |= bool(near)
     return np.flatnonzero(open_)
@@ -448,9 +471,9 @@ def apart(met: DataFrame, roots: DataFrame | None) -> DataFrame:
     return cut(named.join(several.select("g").hint("merge"), "g"), "join-apart")
 
 
-def set_components(met: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float, tokens: int) -> DataFrame:
-    """``node, root`` of all sets that are linked."""
-    rooted, links, roots = apart(met, None), [], None
+def set_components(rooted: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float, tokens: int) -> DataFrame:
+    """``node, root`` of all sets that are linked, by groups from ``apart``."""
+    links, roots = [], None
     for i in range(ROUNDS + 1):
         if rooted.isEmpty():
             break
@@ -498,9 +521,11 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     nodes = rows.where("n > 0").groupBy("_set").agg(F.min(key).alias("smallest"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = cut(nodes, "join-nodes")
     drop_cut(rows)
-    chosen = nodes.join(met.select("_set").distinct().hint("merge"), "_set", "left_semi")
+    groups = apart(met, None)
+    drop_cut(met)
+    chosen = nodes.join(groups.select("_set").distinct().hint("merge"), "_set", "left_semi")
     sets = cut(whole_sets(texts, key, cut(chosen.select("_set", "smallest"), "join-chosen"), width), "join-sets")
-    roots = set_components(met, nodes, sets, similarity, tokens)
+    roots = set_components(groups, nodes, sets, similarity, tokens)
     if roots is None:
         names = nodes.select(F.col("_set").alias("_node"), F.col("smallest").alias("component_id"))
     else:

@@ -45,24 +45,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> Iterator[None]:
-    """Arrow batches of at most ``limit`` bytes (one row at least) for what is run inside: memory then
-    depends neither on the rows' lengths nor on how many fit the usual 10,000 to a batch."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     before = spark.conf.get(name)
-    spark.conf.set(name, str(limit))
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> Iterator[None]:
+    """Arrow batches of at most ``limit`` bytes (one row at least) for what is run inside: memory then
+    depends neither on the rows' lengths nor on how many fit the usual 10,000 to a batch."""
+    with _setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(limit)):
+        yield
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends at a table that survives
-    the loss of executors.  The table is deleted when the application ends."""
+    the loss of executors.  The table is deleted when the application ends, the shuffle files behind it as
+    soon as it is written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    with small_batches(spark):
+    with small_batches(spark), _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
         df.write.parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
