@@ -81,10 +81,6 @@ def blend_ramp(start: int, valid: int, length: int, overlap: int, floor: float)
     return np.maximum(weight, floor)
 
 
-def linear_index(index: tuple[int, int, int], counts: tuple[int, int, int]) -> int:
-    return (index[0] * counts[1] + index[1]) * counts[2] + index[2]
-
-
 def shard_of(linear: int, shards: int) -> int:
     """All patches of a block go to one writer."""
     return linear % shards

@@ -63,11 +63,6 @@ def base_sample(sample: Column) -> Column:
     return F.regexp_replace(sample, r"_processed_\d{4}-\d{2}-\d{2}.*$", "")
 
 
-def level_free(path: Column) -> Column:
-    """Without the level number at the end."""
-    return F.regexp_replace(path, r"/\d+$", "")
-
-
 def downscale_factor(ratio: Column) -> Column:
     """Ratios round half to even, and are 1 at least."""
     return F.greatest(F.lit(1.0), F.bround(ratio)).cast("int")

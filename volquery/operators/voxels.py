@@ -11,6 +11,7 @@ from ..config import JobConfig
 from ..functions.scalars import clip, denormalize, normalize, saturate
 from .cover import Axis, axes_of, fan_out
 from .models import Model
+from .quantiles import quantiles
 
 BLOCK = ["k_z", "k_y", "k_x"]
 VOXEL = ["z", "y", "x"]
@@ -32,10 +33,11 @@ def plane_shape(voxels: DataFrame) -> tuple[int, int, int]:
 
 
 def block_statistics(voxels: DataFrame, axes: list[Axis], lower: float, upper: float) -> DataFrame:
-    """``k_z, k_y, k_x, mn, mx``: exact interpolated percentiles over each block with its halo."""
+    """``k_z, k_y, k_x, mn, mx, n_voxels``: exact interpolated percentiles over each block with its halo, by
+    histograms that are refined: no block's values meet in one place."""
     wide = fan_out(voxels.select(*VOXEL, "p"), axes, patches=False)
-    both = F.percentile("p", F.array(F.lit(lower / 100.0), F.lit(upper / 100.0)))
-    return wide.groupBy(*BLOCK).agg(both.alias("q"), F.count("*").alias("n_voxels")).select(*BLOCK, F.col("q")[0].alias("mn"), F.col("q")[1].alias("mx"), "n_voxels")
+    found = quantiles(wide, BLOCK, "p", (lower / 100.0, upper / 100.0))
+    return found.select(*BLOCK, F.col("q")[0].alias("mn"), F.col("q")[1].alias("mx"), F.col("n").alias("n_voxels"))
 
 
 def normalized(rows: DataFrame, voxels: DataFrame, axes: list[Axis], cfg: JobConfig) -> DataFrame:
@@ -126,17 +128,3 @@ def downsample(voxels: DataFrame, factors: tuple[int, int, int], value: str = "v
     """The next pyramid level: means over boxes; border boxes average the voxels they have."""
     cells = [F.expr(f"{a} div {int(f)}").alias(a) for a, f in zip(VOXEL, factors)]
     return voxels.groupBy(*keys, *cells).agg(F.avg(value).alias(value))
-
-
-def pyramid(voxels: DataFrame, factors: list[tuple[int, int, int]], levels: int, value: str = "v", keys: tuple[str, ...] = ()) -> list[DataFrame]:
-    """Levels 1 .. ``levels - 1``, each from the one before; a short factor list repeats its last entry."""
-    out, current = [], voxels
-    for level in range(1, levels):
-        current = downsample(current, factors[min(level - 1, len(factors) - 1)], value, keys)
-        out.append(current)
-    return out
-
-
-def value_or_zero(column: Column) -> Column:
-    """What uncovered voxels read."""
-    return F.coalesce(column, F.lit(0.0))
