@@ -199,7 +199,7 @@ def test_surrogates_agree_over_forms(spark):
     a, b, c, d = re.fullmatch(r"(\+49 \d\d \d{7}) or (\+49\d{9}), (1 \(\d{3}\) 555-\d{4}) and (\+1 \d{3} 555 \d{4})", got[2]).groups()
     assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b) != "49301234567" and re.sub(r"\D", "", c) == re.sub(r"\D", "", d) != "15215556210"
     x = got[3].split()
-    assert x[0] == x[4] != "10.0.0.1" and x[0].startswith("10.") and x[1].startswith("192.168.") and x[2].startswith("172.20.") and 11 <= int(x[3].split(".")[0]) < 100
+    assert x[0] == x[4] != "10.0.0.1" and x[0].startswith("10.") and x[1].startswith("192.168.") and x[2].startswith("172.20.") and int(x[3].split(".")[0]) in privacy.PLAIN_OCTETS
     p, q, r = re.fullmatch(r"Господин ([А-Яа-я]+) ([А-Яа-я]+) и Господин ([А-Яа-я]+)", got[4]).groups()
     assert q == r
     other = privacy.replace_private(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "another key").collect()
@@ -247,6 +247,71 @@ def test_surrogates_stay_apart(spark):
     assert len(set(out)) == len(rows) and not {t for _, t in rows} & set(out)
 
 
+#: Texts in which one form of an entity used to stay, or to lose its link to the others.
+PROBES = [
+    "Mr. John Fitzgerald Kennedy", "MR. JOHN SMITH met Mr. John Smith", "Mr. John smith", "иван@пример.рф", "1 212 555 0100, +1 212 555 0100, (212) 555-0100",
+    "2001:db8:0:1::8a2e", "DE89 3704 0044 0532 0130 00, DE89370400440532013000", "Dr. Anna Weber, Frau Anna Weber, Dr Weber", "Mr. Smith's and Mr. Smith", "Mr. Παπαδόπουλος",
+    "John.Smith@Example.com, ann@example.com", "Mr. J. van der Berg. Then Mrs. O'Brien-Jones said so. Mr. Berg left", "at 12:30:45 std::vector<int> a::b", "Mr. and Mrs. Lee", "Mr. Zabel left early.",
+]
+
+
+def test_probes(spark):
+    rows = privacy.replace_private(spark.createDataFrame(list(enumerate(PROBES)), "doc_id long, text string"), "key").collect()
+    got = [r.text for r in sorted(rows)]
+    for i, gone in enumerate(("Fitzgerald|Kennedy|John", "JOHN|SMITH|Smith", "John|smith", "иван|пример", "212", "8a2e", "3704", "Anna|Weber", "Smith", "Παπα", "John|xample.c", "Berg|Brien|Jones")):
+        assert not re.search(gone, got[i]), got[i]
+    a, b = re.fullmatch(r"MR\. ([A-Z]+ [A-Z]+) met Mr\. ([A-Z][a-z]+ [A-Z][a-z]+)", got[1]).groups()
+    assert a == b.upper() and re.fullmatch(rf"Mr\. [A-Z][a-z]+ {b.split()[1].lower()}", got[2], re.I)
+    assert re.fullmatch(r"[а-я]{4}@[а-я]{6}\.рф\.example", got[3])
+    assert len({re.sub(r"\D", "", x)[-10:] for x in got[4].split(", ")}) == 1 and re.fullmatch(r"1 \d{3} 555 \d{4}, \+1 \d{3} 555 \d{4}, \(\d{3}\) 555-\d{4}", got[4])
+    one, two = got[6].split(", ")
+    assert one.replace(" ", "") == two and int("".join(str(int(c, 36)) for c in two[4:] + two[:4])) % 97 == 1 and two.startswith("DE")
+    x, y, z = re.fullmatch(r"Dr\. (\w+ \w+), Frau (\w+ \w+), Dr (\w+)", got[7]).groups()
+    assert x == y and x.split()[1] == z and x.split()[0].endswith(tuple(privacy.ENDS["given", "latin", "female"].split()))
+    name = re.fullmatch(r"Mr\. (\w+)'s and Mr\. (\w+)", got[8]).groups()
+    assert name[0] == name[1] == b.split()[1]
+    assert re.fullmatch(r"Mr\. [Α-Ω][α-ως]+", got[9])
+    assert re.fullmatch(r"[A-Z][a-z]{3}\.[A-Z][a-z]{4}@([A-Z][a-z]{6})\.com\.example, [a-z]{3}@[a-z]{7}\.com\.example", got[10])
+    k = re.fullmatch(r"Mr\. [A-Z]\. van der (\w+)\. Then Mrs\. \w+-\w+ said so\. Mr\. (\w+) left", got[11]).groups()
+    assert k[0] == k[1] and got[12] == PROBES[12] and got[13].startswith("Mr. and Mrs. ") and re.fullmatch(r"Mr\. (?!Zabel)\w+ left early\.", got[14])
+
+
+def many(spark, n=100_000):
+    i = F.col("id")
+    numbers = {
+        "phone": F.concat(F.lit("+49"), F.lpad((i * 7 + 1_000_000).cast("string"), 9, "3")), "ssn": F.lpad((i * 9 + 5).cast("string"), 9, "0"), "email": F.concat(F.lower(F.conv(i + 40_000, 10, 36)), F.lit("@mail.org")),
+        "ipv6": F.concat(F.lit("2001:db8:"), F.lower(F.hex(i % 60_000)), F.lit("::"), F.lower(F.hex((i / 60_000).cast("long") + 1))), "iban": F.concat(F.lit("gb29nwbk"), F.lpad(i.cast("string"), 14, "6")),
+        "card": F.concat(F.lit("4"), F.lpad((i * 31).cast("string"), 15, "2")), "family:latin:": F.concat(F.lit("n"), F.lower(F.conv(i, 10, 36))),
+    }
+    out = spark.createDataFrame([], "kind string, norm string")
+    for kind, norm in numbers.items():
+        out = out.unionByName(spark.range(n).select(F.lit(kind).alias("kind"), norm.alias("norm")))
+    crowd = spark.range(60_000).select(F.lit("ip").alias("kind"), F.concat_ws(".", F.lit("192.168"), (i / 256).cast("int").cast("string"), (i % 256).cast("string")).alias("norm"))
+    return out.unionByName(crowd).distinct()
+
+
+def test_many_of_each_kind_stay_apart_and_in_format(spark):
+    """60,000 of the 65,536 addresses of a range, and 100,000 of each other kind: no two alike, none its own."""
+    wanted = many(spark).collect()
+    got = privacy.distinct_surrogates(many(spark), "key").collect()
+    assert len(got) == len(wanted) and len({(r.kind, r.surrogate) for r in got}) == len(got)
+    own = {(r.kind, r.norm) for r in wanted}
+    forms = {"phone": r"\+49[1-9]\d{8}", "ssn": r"\d{9}", "email": r"[a-z0-9]+@[a-z]{4}\.org\.example", "ipv6": r"2001:[0-9a-f]{3}:[0-9a-f]{1,4}::[0-9a-f]", "iban": r"gb\d\d[a-z]{4}\d{14}", "card": r"[1-9]\d{15}", "family:latin:": r"[a-z]{5,24}", "ip": r"192\.168\.\d{1,3}\.\d{1,3}"}
+    luhn = lambda t: sum(d if i % 2 == 0 else (d * 2 - 9 if d > 4 else d * 2) for i, d in enumerate(int(c) for c in reversed(t))) % 10
+    for r in got:
+        assert re.fullmatch(forms[r.kind], r.surrogate) and r.surrogate != r.norm and len(r.surrogate) == len(r.norm) or r.kind in ("email", "family:latin:", "ip"), r
+        assert r.kind == "ip" or (r.kind, r.surrogate) not in own
+        assert r.kind != "card" or luhn(r.norm) == luhn(r.surrogate) or luhn(r.norm) != 0
+
+
+def test_a_permutation_fills_its_format(spark):
+    """All 10,000 values of a format are taken, each once, none by itself."""
+    every = spark.range(10_000).select(F.lit("ssn").alias("kind"), F.lpad(F.col("id").cast("string"), 4, "0").alias("norm"))
+    for secret in ("a", "b"):
+        got = {r.norm: r.surrogate for r in privacy.distinct_surrogates(every, secret).collect()}
+        assert sorted(got.values()) == sorted(got) and all(k != v for k, v in got.items())
+
+
 def test_surrogates_of_nothing(empty):
     assert privacy.replace_private(empty, "key").count() == 0
 

@@ -1,13 +1,18 @@
 """Surrogates for personal data.  Native column expressions only.
 
 Every detected entity is replaced by a keyed surrogate of its own type, script, gender and format.  Equal
-entities (after normalisation) get equal surrogates everywhere, different ones different surrogates, and
-no surrogate equals a detected entity: clashes are found over the whole corpus and drawn again.
-
-A person is replaced name by name: the given name by one of the same script and gender, the family name by
-one of the same script, the title stays.  So "Mr. John Smith", "Mr John Smith" and "Mr. Smith" agree, and
-as names map one to one, different persons stay different.  Telephone numbers keep their country code,
-addresses their range.  Persons are found by their titles only: no list of names is used.
+entities (after normalisation) get equal surrogates everywhere, different ones different surrogates.
+
+Numbers and addresses are permuted: the places that may change, each with the size of its alphabet, span all
+values of one format, and a keyed Feistel network over them is one to one.  The surrogate is one step along
+the permuted order, so nothing is its own surrogate and a format never runs out of room.  Names are invented
+and drawn, as real names have no bound.  Surrogates that meet a detected entity, or one of another format, are
+drawn again with another key; where entities fill over a quarter of a format they may stand for each other.
+
+A person is replaced name by name: the given name by one of the same script and gender, the others by family
+names of the same script; titles and particles stay.  So "Mr. John Smith", "MR JOHN SMITH" and "Mr. Smith's"
+agree.  Telephone numbers keep their country code, addresses their range.  Persons are found by their titles
+only: no list of names is used.
 """
 
 from __future__ import annotations
@@ -18,38 +23,55 @@ import operator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, drop_cut
 
 WORD = r"\p{L}\p{N}"
-EMAIL = rf"(?<![{WORD}._%+-])[{WORD}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+EMAIL = rf"(?<![{WORD}._%+-])[{WORD}._%+-]++@[{WORD}-]++(?:\.[{WORD}-]++)+"
 CARD = rf"(?<![{WORD}])(?:[0-9]{{4}}(?:[ -]?[0-9]{{4}}){{3}}|[0-9]{{13,19}})(?![{WORD}])"
-PHONE = rf"(?<![{WORD}+])(?:\+?[0-9]{{1,3}}[ .-]?\([0-9]{{2,4}}\)[ .-]?[0-9]{{3,4}}[ .-]?[0-9]{{3,4}}|\+[0-9]{{1,3}}(?:[ .-]?[0-9]{{2,4}}){{2,4}}|\(?[0-9]{{3}}\)?[ .-][0-9]{{3}}[.-][0-9]{{4}})(?![{WORD}])"
+PHONE = rf"(?<![{WORD}+])(?:\+?[0-9]{{1,3}}[ .-]?\([0-9]{{2,4}}\)[ .-]?[0-9]{{3,4}}[ .-]?[0-9]{{3,4}}|\+[0-9]{{1,3}}(?:[ .-]?[0-9]{{2,4}}){{2,4}}|(?:1[ .-])?\(?[0-9]{{3}}\)?[ .-][0-9]{{3}}[ .-][0-9]{{4}})(?![{WORD}])"
 SSN = rf"(?<![{WORD}-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![{WORD}-])"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 IP = rf"(?<![{WORD}.])(?:{OCTET}\.){{3}}{OCTET}(?![{WORD}]|\.[0-9])"
-MALE, FEMALE = "Mr|Herr|Señor|Monsieur|Господин", "Mrs|Ms|Miss|Frau|Señora|Señorita|Madame|Mademoiselle|Госпожа"
-PERSON = rf"(?<![{WORD}])(?:{FEMALE}|{MALE})\.?\x20\p{{Lu}}[\p{{L}}'-]+(?:\x20\p{{Lu}}[\p{{L}}'-]+)?"
-KINDS = (("email", EMAIL), ("card", CARD), ("phone", PHONE), ("ssn", SSN), ("ip", IP), ("person", PERSON))
+IPV6 = rf"(?<![{WORD}:.])(?:(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}|(?=[0-9A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{{1,4}}:){{2,6}}(?::[0-9A-Fa-f]{{1,4}}){{1,5}})(?![{WORD}:.])"
+IBAN = rf"(?<![{WORD}])[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{2,7}}(?:\x20?[A-Z0-9]{{1,3}})?(?![{WORD}])"
+#: Titles that tell a gender, and titles that do not.
+MALE, FEMALE = "Mr|Mister|Sir|Herr|Señor|Monsieur|Signor|Господин|Κύριος|Κύριε", "Mrs|Ms|Miss|Madam|Lady|Frau|Señora|Señorita|Madame|Mademoiselle|Signora|Госпожа|Κυρία"
+NEUTRAL = "Dr|Prof|Doctor|Professor|Доктор|Профессор"
+#: Small words inside a name.  They stay.
+PARTICLES = "von|van|der|den|de|del|della|di|da|dos|du|la|le|bin|ibn|al|ten|ter|zu|zum|zur"
+TITLES = f"{FEMALE}|{MALE}|{NEUTRAL}"
+NAME = rf"(?:(?!(?i:{TITLES})\b)(?:\p{{Lu}}\.(?=\x20)|\p{{Lu}}[\p{{L}}\p{{M}}-]*(?:['’]\p{{Lu}}[\p{{L}}\p{{M}}-]+)?))"
+PERSON = (
+    rf"(?<![{WORD}])(?i:{TITLES})\.?\x20(?:(?i:{PARTICLES})\x20)*{NAME}(?:(?:\x20(?i:{PARTICLES})(?=\x20(?:\p{{Lu}}|(?i:{PARTICLES})\x20)))*\x20{NAME}){{0,3}}"
+    # a word in small letters: a name if it is one elsewhere
+    rf"(?:\x20\p{{Ll}}[\p{{L}}\p{{M}}-]++)?"
+)
+KINDS = (("email", EMAIL), ("iban", IBAN), ("card", CARD), ("phone", PHONE), ("ssn", SSN), ("ip", IP), ("ipv6", IPV6), ("person", PERSON))
 ANY = "|".join(f"(?:{p})" for _, p in KINDS)
 #: Sounds of invented names, and the ends of given and family names.
-SOUNDS = {"latin": ("b d f g h j k l m n p r s t v w z ch sh th br tr", "a e i o u ai ei"), "cyrillic": ("б в г д ж з к л м н п р с т ф х ц ч ш", "а е и о у я ю")}
+SOUNDS = {"latin": ("b d f g h j k l m n p r s t v w z ch sh th br tr", "a e i o u ai ei"), "cyrillic": ("б в г д ж з к л м н п р с т ф х ц ч ш", "а е и о у я ю"), "greek": ("β γ δ ζ θ κ λ μ ν π ρ σ τ φ χ", "α ε ι ο ου αι ει")}
 ENDS = {
-    ("given", "latin", "male"): "o an us er im on ert as", ("given", "latin", "female"): "a ia ina elle ara ette isa une",
-    ("given", "cyrillic", "male"): "ан ей ор ил ир ат", ("given", "cyrillic", "female"): "а ия ина ара ья ея",
-    ("family", "latin", ""): "er in ard sen ley mann ot ini ez ow", ("family", "cyrillic", ""): "ов ин ский ко ев ук",
+    ("given", "latin", "male"): "o an us er im on ert as", ("given", "latin", "female"): "a ia ina elle ara ette isa une", ("given", "latin", "any"): "e y is il en",
+    ("given", "cyrillic", "male"): "ан ей ор ил ир ат", ("given", "cyrillic", "female"): "а ия ина ара ья ея", ("given", "cyrillic", "any"): "е и о",
+    ("given", "greek", "male"): "ος ης ας", ("given", "greek", "female"): "α η ια ινη", ("given", "greek", "any"): "ι ω",
+    ("family", "latin", ""): "er in ard sen ley mann ot ini ez ow", ("family", "cyrillic", ""): "ов ин ский ко ев ук", ("family", "greek", ""): "ου ιδης ακης ας",
 }
+#: What a place may change to: the others of its alphabet.
+ALPHABETS = {"d": "0123456789", "n": "123456789", "l": "abcdefghijklmnopqrstuvwxyz", "c": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "g": "αβγδεζηθικλμνξοπρστυφχψω", "a": "àáâäèéêëìíîïòóôöùúûüçñ", "h": "0123456789abcdef"}
+#: First octets of addresses that are neither private, local nor group ones, nor share their first octet with such.
+PLAIN_OCTETS = [n for n in range(1, 224) if n not in (10, 127, 169, 172, 192)]
 #: Country codes of one and two digits; the others have three.  Fixed values.
 COUNTRY = r"^\+(1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 #: Leading octets that tell private, local and group addresses.  Fixed values.
 RANGES = r"^(10|127|192\.168|169\.254|172\.(?:1[6-9]|2[0-9]|3[01])|22[4-9]|2[3-5][0-9])\."
-#: Draws of the right format before a surrogate gets a distinguishing tail, where its format has no room for
-#: more (names grow with their draws and never need one).
-DRAWS = 12
+#: Rounds of the permutation, and the share of a format's values (one in so many) from which it is crowded.
+FEISTEL, CROWDED = 4, 4
 
 
 def may_hold(text: Column) -> Column:
     """Cheap and never wrongly false: every entity has a digit, an at sign or a title."""
-    titles = [text.contains(t) for t in sorted(set(f"{MALE}|{FEMALE}".split("|")))]
+    low = F.lower(text)
+    titles = [low.contains(t.lower()) for t in sorted(set(TITLES.split("|")))]
     return functools.reduce(operator.or_, titles, text.rlike("[0-9@]"))
 
 
@@ -58,31 +80,51 @@ def holds(text: Column) -> Column:
 
 
 def kind_of(value: Column) -> Column:
+    """The kind of a match.  Whether a name ends where it does depends on what follows: what is no other kind
+    is a person."""
     out = None
-    for name, pattern in KINDS:
+    for name, pattern in KINDS[:-1]:
         test = value.rlike(f"^(?:{pattern})$")
         out = F.when(test, name) if out is None else out.when(test, name)
-    return out
+    return out.otherwise(KINDS[-1][0])
 
 
 def normal(kind: Column, value: Column) -> Column:
-    """What equal entities have in common: digits of numbers (with a plus before a country code), lower case
-    of the rest."""
+    """What equal entities have in common: digits of numbers (of telephones in full, with the country code),
+    lower case of the rest."""
     digits = F.regexp_replace(value, "[^0-9]", "")
-    abroad = value.startswith("+") | (F.length(digits) > 10)
-    phone = F.when(abroad, F.concat(F.lit("+"), digits)).otherwise(digits)
-    return F.when(kind == "phone", phone).when(kind.isin("card", "ssn"), digits).when(kind == "ip", value).otherwise(F.lower(value))
+    abroad = value.startswith("+") | ((F.length(digits) != 10) & ~((F.length(digits) == 11) & digits.startswith("1")))
+    phone = F.when(abroad | (F.length(digits) == 11), F.concat(F.lit("+"), digits)).otherwise(F.concat(F.lit("+1"), digits))
+    return F.when(kind == "phone", phone).when(kind.isin("card", "ssn"), digits).when(kind == "iban", F.lower(F.replace(value, F.lit(" "), F.lit("")))).when(kind == "ip", value).otherwise(F.lower(value))
+
+
+def script_of(word: Column) -> Column:
+    """The script of a name's letters; nothing where it is none that names can be invented in."""
+    return F.when(word.rlike(r"^[\p{IsLatin}\p{M}'’.-]+$"), "latin").when(word.rlike(r"^[\p{IsCyrillic}\p{M}'’.-]+$"), "cyrillic").when(word.rlike(r"^[\p{IsGreek}\p{M}'’.-]+$"), "greek")
+
+
+def is_name(word: Column) -> Column:
+    return ~word.rlike(rf"^(?i:{PARTICLES})$") & script_of(word).isNotNull()
 
 
 def parts_of(kind: Column, value: Column) -> Column:
-    """``struct(kind, norm)`` of what is replaced by itself: the names of a person, or the whole value."""
+    """``struct(i, kind, norm, gender, sure)`` of what is replaced by itself: the names of a person by their
+    place among its words, or the whole value.  The last name is the family name, the first of several the
+    given.  A last word in small letters is not sure to be a name."""
     words = F.split(value, "\x20")
-    script = F.when(value.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    gender = F.when(words[0].rlike(f"^(?:{FEMALE})\\.?$"), "female").otherwise("male")
-    family = F.struct(F.concat(F.lit("family:"), script, F.lit(":")).alias("kind"), F.lower(F.element_at(words, -1)).alias("norm"))
-    given = F.struct(F.concat_ws(":", F.lit("given"), script, gender).alias("kind"), F.lower(F.get(words, F.lit(1))).alias("norm"))
-    names = F.when(F.size(words) > 2, F.array(given, family)).otherwise(F.array(family))
-    return F.when(kind == "person", names).otherwise(F.array(F.struct(kind.alias("kind"), normal(kind, value).alias("norm"))))
+    gender = F.when(words[0].rlike(rf"^(?i:{FEMALE})\.?$"), "female").when(words[0].rlike(rf"^(?i:{MALE})\.?$"), "male").otherwise("any")
+    named = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: (x["i"] > 0) & is_name(x["w"]))
+    sure = F.filter(named, lambda x: x["w"].rlike(r"^\p{Lu}"))
+    last = F.size(sure) - 1
+
+    def part(x: Column, n: Column) -> Column:
+        given = (n == 0) & (last > 0)
+        word = F.lower(F.regexp_replace(x["w"], "[.]$", ""))
+        what = F.concat(F.when(given, "given:").otherwise("family:"), script_of(x["w"]), F.lit(":"))
+        return F.struct(x["i"].alias("i"), what.alias("kind"), word.alias("norm"), F.when(given, gender).alias("gender"), x["w"].rlike(r"^\p{Lu}").alias("sure"))
+
+    whole = F.array(F.struct(F.lit(0).alias("i"), kind.alias("kind"), normal(kind, value).alias("norm"), F.lit(None).cast("string").alias("gender"), F.lit(True).alias("sure")))
+    return F.when(kind == "person", F.transform(named, part)).otherwise(whole)
 
 
 def _digest(secret: str, *parts: Column) -> Column:
@@ -107,27 +149,14 @@ def _pick(digest: Column, at: Column | int, listed: Column) -> Column:
 
 def _name(digest: Column, draw: Column, kind: Column) -> Column:
     """An invented name in lower case.  Each second draw is a syllable longer, so there is always room."""
-    cyrillic = kind.contains(":cyrillic:")
-    consonants, vowels = (F.when(cyrillic, _words(c)).otherwise(_words(v)) for c, v in zip(SOUNDS["cyrillic"], SOUNDS["latin"]))
-    ends = F.lit(None).cast("array<string>")
-    for parts, listed in ENDS.items():
-        ends = F.when(kind == ":".join(parts), _words(listed)).otherwise(ends)
+    script = F.split(kind, ":")[1]
+    consonants, vowels = (F.coalesce(*[F.when(script == n, _words(v[k])) for n, v in SOUNDS.items()]) for k in (0, 1))
+    ends = F.coalesce(*[F.when(kind == ":".join(parts), _words(listed)) for parts, listed in ENDS.items()])
     count = F.least(2 + F.floor(draw / 2), F.lit(9)).cast("int")
     syllables = F.transform(F.sequence(F.lit(1), count), lambda i: F.concat(_pick(digest, i * 2, consonants), _pick(digest, i * 2 + 1, vowels)))
     return F.concat(F.array_join(syllables, ""), _pick(digest, 0, consonants), _pick(digest, 1, ends))
 
 
-def _alike(digest: Column, value: Column) -> Column:
-    """Every letter by a letter, every digit by a digit, the rest kept."""
-    letters, digits = F.lit("abcdefghijklmnopqrstuvwxyz"), F.lit("0123456789")
-
-    def one(c: Column, i: Column) -> Column:
-        n = _number(digest, i, 1 << 16)
-        return F.when(c.rlike("[0-9]"), F.substr(digits, n % 10 + 1, F.lit(1))).when(c.rlike(r"\p{L}"), F.substr(letters, n % 26 + 1, F.lit(1))).otherwise(c)
-
-    return F.array_join(F.transform(F.split(value, ""), one), "")
-
-
 def luhn_ok(digits: Column) -> Column:
     def weighed(c: Column, i: Column) -> Column:
         d = c.cast("int") * (F.lit(1) + (i % 2))
@@ -137,32 +166,127 @@ def luhn_ok(digits: Column) -> Column:
     return F.aggregate(figures, F.lit(0), lambda a, x: a + x) % 10 == 0
 
 
-def surrogate(secret: str, kind: Column, norm: Column, draw: Column, h: Column) -> Column:
-    """The surrogate in normal form: digits for numbers, lower case for the rest.  ``h`` is the digest of the
-    draw, as a column, so that it is made once."""
-    numbers = _alike(h, norm)
-    # telephone numbers keep the country code and the 555 of invented numbers
-    code = F.concat(F.lit("+"), F.regexp_extract(norm, COUNTRY, 1))
-    rest = F.when(norm.startswith("+"), F.substr(numbers, F.length(code) + 1)).otherwise(numbers)
-    rest = F.when(rest.startswith("0"), F.concat(F.lit("3"), F.substr(rest, F.lit(2)))).otherwise(rest)
-    rest = F.when(norm.rlike("^([+]1)?[0-9]{3}555[0-9]{4}$"), F.concat(F.substr(rest, F.lit(1), F.lit(3)), F.lit("555"), F.substr(rest, F.lit(7)))).otherwise(rest)
-    phone = F.when(norm.startswith("+"), F.concat(code, rest)).otherwise(rest)
-    # a valid card number stays valid: the last digit is the check digit
-    stem = F.substr(numbers, F.lit(1), F.length(numbers) - 1)
-    checked = F.element_at(F.filter(F.array(*[F.lit(str(d)) for d in range(10)]), lambda d: luhn_ok(F.concat(stem, d))), 1)
-    card = F.when(luhn_ok(norm), F.concat(stem, checked)).otherwise(numbers)
-    # private addresses stay private, public ones public
-    octets = [(_number(h, i, 254) + 1).cast("string") for i in range(1, 4)]
-    range_ = F.regexp_extract(norm, RANGES, 1)
-    ip = F.when(range_ == "", F.concat_ws(".", (_number(h, 0, 89) + 11).cast("string"), *octets)).when(range_.contains("."), F.concat_ws(".", range_, *octets[:2])).otherwise(F.concat_ws(".", range_, *octets))
-    local, domain = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
-    # one surrogate domain for each domain, so that relations between addresses stay
-    mail = F.concat(_alike(h, local), F.lit("@d"), F.substr(_digest(secret, F.lit("domain"), domain), F.lit(1), F.lit(10)), F.lit(".example"))
-    out = F.when(kind == "email", mail).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ip", ip).otherwise(numbers)
-    out = F.when(draw < DRAWS, out).otherwise(F.concat(out, F.lit("-"), F.substr(h, F.lit(1), F.lit(24))))
-    name = _name(h, draw, kind)
-    name = F.when(norm.contains("-"), F.concat_ws("-", name, _name(F.sha2(h, 256), draw, kind))).otherwise(name)
-    return F.when(kind.contains(":"), name).otherwise(out)
+def _luhn_digit(stem: Column) -> Column:
+    """The last digit that makes a card number valid."""
+    return F.element_at(F.filter(F.array(*[F.lit(d) for d in range(10)]), lambda d: luhn_ok(F.concat(stem, d.cast("string")))), 1)
+
+
+def _mod_97(text: Column) -> Column:
+    """Of digits and small letters, which count as 10 to 35."""
+    values = F.transform(F.split(text, ""), lambda c: F.instr(F.lit(ALPHABETS["d"] + ALPHABETS["l"]), c) - 1)
+    return F.aggregate(values, F.lit(0), lambda a, v: F.when(v > 9, (a * 100 + v) % 97).otherwise((a * 10 + v) % 97))
+
+
+def places(kind: Column, norm: Column) -> Column:
+    """``array<struct(s, a)>``: the symbols of an entity in normal form and the alphabet of each (nothing: it
+    stays).  Entities with the same alphabets, and the same symbols where there are none, are a format."""
+    octets = F.split(norm, "[.]")
+    fixed = F.when(octets[0].isin("169", "172", "192"), 2).when(octets[0].isin("0", "10", "127") | (octets[0].cast("int") > 223), 1).otherwise(0)
+    ip = F.transform(octets, lambda o, i: F.struct(o.alias("s"), F.when(i < fixed, F.lit(None)).when(i == 0, "p").otherwise("o").alias("a")))
+    code = F.length(F.regexp_extract(norm, COUNTRY, 0))
+    invented = norm.rlike("^[+]1[0-9]{3}555[0-9]{4}$")
+    # telephone: after the country code; cards: all but the check digit; accounts: after country and check digits
+    start = F.when(kind == "phone", code).when(kind == "iban", 4).otherwise(0)
+    stop = F.when(kind == "card", F.length(norm) - 1).otherwise(F.length(norm))
+    groups = F.instr(norm, ":")
+    text = F.when(kind == "email", F.substring_index(norm, "@", 1)).otherwise(norm)
+
+    def letter(c: Column) -> Column:
+        out = F.when(c.rlike("[0-9]"), "d")
+        for name in "lcga":
+            out = out.when(F.lit(ALPHABETS[name]).contains(c), name)
+        return out
+
+    def one(c: Column, i: Column) -> Column:
+        kept = (i < start) | (i >= stop) | ((kind == "phone") & invented & (i >= 5) & (i < 8)) | ((kind == "ipv6") & (i < groups))
+        first = kind.isin("phone", "card") & (i == start)
+        own = F.when(kind == "ipv6", F.when(c.rlike("[0-9a-f]"), "h")).when(first, F.when(c != "0", "n")).otherwise(letter(c))
+        return F.struct(c.alias("s"), F.when(~kept, own).alias("a"))
+
+    return F.when(kind == "ip", ip).otherwise(F.transform(F.split(text, ""), one))
+
+
+def domain_places(norm: Column) -> Column:
+    """The same for the domain of a mail address: its last label stays."""
+    domain = F.substring_index(norm, "@", -1)
+    stop = F.length(domain) - F.length(F.substring_index(domain, ".", -1))
+
+    def one(c: Column, i: Column) -> Column:
+        own = F.when(c.rlike("[0-9]"), "d")
+        for name in "lcga":
+            own = own.when(F.lit(ALPHABETS[name]).contains(c), name)
+        return F.struct(c.alias("s"), F.when(i < stop, own).alias("a"))
+
+    return F.transform(F.split(domain, ""), one)
+
+
+def _listed(alphabet: Column) -> Column:
+    out = F.when(alphabet == "o", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda n: n.cast("string"))).when(alphabet == "p", F.array(*[F.lit(str(n)) for n in PLAIN_OCTETS]))
+    for name, letters in ALPHABETS.items():
+        out = out.when(alphabet == name, F.split(F.lit(letters), ""))
+    return out
+
+
+def radix(alphabet: Column) -> Column:
+    out = F.when(alphabet == "o", 256).when(alphabet == "p", len(PLAIN_OCTETS))
+    for name, letters in ALPHABETS.items():
+        out = out.when(alphabet == name, len(letters))
+    return out
+
+
+def _turn(half: Column, by: Column, sign: int) -> Column:
+    """Each symbol moved along its alphabet by a number of the digest."""
+    return F.transform(half, lambda x, i: F.struct(F.pmod(x["v"] + sign * _number(by, i, 1 << 16), x["m"]).alias("v"), x["m"].alias("m")))
+
+
+def permuted(rows: DataFrame, source: str, out: str, secret: str, tweak: list[Column]) -> DataFrame:
+    """Adds ``out``: the symbols of ``source`` (``places``) one step along a keyed order of their format.
+
+    The order is a Feistel network over the symbols that may change: it is undone after the step, so the
+    map is one to one on the format and has no fixed point where anything may change."""
+
+    def keyed(i: int, other: str) -> Column:
+        return _digest(secret, *tweak, F.lit(out), F.lit(i), F.size(other), F.array_join(F.transform(other, lambda x: x["v"].cast("string")), ","))
+
+    free = F.filter(source, lambda x: x["a"].isNotNull())
+    coded = F.transform(free, lambda x: F.struct((F.array_position(_listed(x["a"]), x["s"]).cast("int") - 1).alias("v"), radix(x["a"]).alias("m")))
+    half = F.ceil(F.size("_x") / 2).cast("int")
+    rows = rows.withColumn("_x", coded).withColumns({"_l": F.slice("_x", 1, half), "_r": F.slice("_x", half + 1, F.size("_x") - half)})
+    for i in range(FEISTEL):
+        mine, other = ("_l", "_r") if i % 2 == 0 else ("_r", "_l")
+        rows = rows.withColumn("_d", keyed(i, other)).withColumn(mine, _turn(F.col(mine), F.col("_d"), 1))
+    step = F.transform("_l", lambda x, i: F.struct(F.pmod(x["v"] + F.when(i == 0, 1).otherwise(0), x["m"]).alias("v"), x["m"].alias("m")))
+    rows = rows.withColumn("_l", step)
+    for i in reversed(range(FEISTEL)):
+        mine, other = ("_l", "_r") if i % 2 == 0 else ("_r", "_l")
+        rows = rows.withColumn("_d", keyed(i, other)).withColumn(mine, _turn(F.col(mine), F.col("_d"), -1))
+    rows = rows.withColumn("_x", F.concat("_l", "_r"))
+    # the k-th symbol that may change takes the k-th new one
+    ranks = F.transform(F.col(source), lambda x, i: F.size(F.filter(F.slice(F.col(source), 1, i + 1), lambda y: y["a"].isNotNull())))
+    new = F.zip_with(source, ranks, lambda x, k: F.when(x["a"].isNull(), x["s"]).otherwise(F.element_at(_listed(x["a"]), F.get(F.col("_x"), k - 1)["v"] + 1)))
+    return rows.withColumn(out, new).drop("_x", "_l", "_r", "_d")
+
+
+def drawn_surrogates(rows: DataFrame, secret: str, draw: int) -> DataFrame:
+    """Adds ``surrogate`` in normal form: digits for numbers, lower case for the rest."""
+    kind, norm = F.col("kind"), F.col("norm")
+    # card numbers that miss their check digit by as much are a format, and so on
+    rows = permuted(rows, "places", "_main", secret, [kind, F.lit(draw)])
+    rows = permuted(rows, "domain", "_dom", secret, [F.lit("domain")])  # one for each domain: relations between addresses stay
+    rows = rows.withColumn("_h", _digest(secret, kind, norm, F.lit(draw)))
+    text = F.array_join("_main", "")
+    stem = F.substr(text, F.lit(1), F.length(text) - 1)
+    missed = F.element_at(F.split(norm, ""), -1).cast("int") - _luhn_digit(F.substr(norm, F.lit(1), F.length(norm) - 1))
+    card = F.concat(stem, F.pmod(_luhn_digit(stem) + missed, F.lit(10)).cast("string"))
+    inner = F.substr(text, F.lit(5))
+    off = _mod_97(F.concat(F.substr(norm, F.lit(5)), F.substr(norm, F.lit(1), F.lit(4)))) == 1
+    check = F.lpad((98 - _mod_97(F.concat(inner, F.substr(norm, F.lit(1), F.lit(2)), F.lit("00")))).cast("string"), 2, "0")
+    iban = F.when(off, F.concat(F.substr(norm, F.lit(1), F.lit(2)), check, inner)).otherwise(text)
+    mail = F.concat(text, F.lit("@"), F.array_join("_dom", ""), F.lit(".example"))
+    name = _name(F.col("_h"), F.lit(draw), kind)
+    name = F.when(norm.contains("-"), F.concat_ws("-", name, _name(F.sha2("_h", 256), F.lit(draw), kind))).otherwise(name)
+    out = F.when(kind.contains(":"), name).when(kind == "email", mail).when(kind == "card", card).when(kind == "iban", iban).when(kind == "ip", F.array_join("_main", ".")).otherwise(text)
+    return rows.withColumn("surrogate", out).drop("_main", "_dom", "_h")
 
 
 def _cased(value: Column, surrogate_: Column) -> Column:
@@ -171,47 +295,82 @@ def _cased(value: Column, surrogate_: Column) -> Column:
     return F.when((F.upper(value) == value) & (F.length(value) > 1), F.upper(surrogate_)).otherwise(capital)
 
 
-def in_format(kind: Column, value: Column, surrogates: Column) -> Column:
-    """The surrogates of the parts of ``value`` written the way it is: its separators, its case."""
-    whole = surrogates[0]
-    digits = F.regexp_replace(value, "[^0-9]", "")
+def _like(value: Column, new: Column) -> Column:
+    """Letters in the case of the letters at their places; what is beyond stays small."""
+    return F.array_join(F.transform(F.split(new, ""), lambda c, i: F.when((i < F.length(value)) & F.substr(value, i + 1, F.lit(1)).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)), "")
+
+
+def in_format(kind: Column, value: Column, parts: Column) -> Column:
+    """``value`` with the surrogates of its ``parts`` (``i, surrogate``) written the way it is: its
+    separators, its case."""
+    whole = parts[0]["surrogate"]
+    spaced = F.regexp_replace(value, "[^0-9A-Za-z]", "")
+    # a telephone number without its country code takes the last digits
     figures = F.regexp_replace(whole, "^[+]", "")
+    figures = F.substr(figures, F.length(figures) - F.length(spaced) + 1)
 
-    # digit i of the value becomes digit i of the surrogate: count the digits up to each place
+    # the k-th digit or letter of the value becomes the k-th of the surrogate
     def place(c: Column, i: Column) -> Column:
-        upto = F.length(F.regexp_replace(F.substr(value, F.lit(1), i + 1), "[^0-9]", ""))
-        return F.when(c.rlike("[0-9]"), F.substr(figures, upto, F.lit(1))).otherwise(c)
+        upto = F.length(F.regexp_replace(F.substr(value, F.lit(1), i + 1), "[^0-9A-Za-z]", ""))
+        return F.when(c.rlike("[0-9A-Za-z]"), F.substr(figures, upto, F.lit(1))).otherwise(c)
 
-    numbers = F.concat(F.array_join(F.transform(F.split(value, ""), place), ""), F.substr(figures, F.length(digits) + 1))
-    words = F.split(value, "\x20")
-    names = F.zip_with(F.slice(words, F.lit(2), F.size(words) - 1), surrogates, _cased)
-    person = F.concat_ws(" ", words[0], F.array_join(names, " "))
-    mail = F.when(F.upper(value) == value, F.upper(whole)).otherwise(whole)
-    return F.when(kind.isin("card", "phone", "ssn"), numbers).when(kind == "ip", whole).when(kind == "person", person).otherwise(mail)
+    numbers = F.upper(F.array_join(F.transform(F.split(value, ""), place), ""))
+
+    def word(w: Column, i: Column) -> Column:
+        mine = F.get(F.filter(parts, lambda p: p["i"] == i), F.lit(0))["surrogate"]
+        initial = w.rlike("[.]$") | (F.length(w) == 1)
+        name = F.when(initial, F.concat(F.upper(F.substr(mine, F.lit(1), F.lit(1))), F.when(w.endswith("."), ".").otherwise(""))).otherwise(_cased(w, mine))
+        return F.when(mine.isNull(), w).otherwise(name)
+
+    # with no part to replace there is nothing but the value
+    person = F.array_join(F.transform(F.split(value, "\x20"), word), " ")
+    out = F.when(kind.isin("card", "phone", "ssn", "iban"), numbers).when(kind == "ip", whole).when(kind == "person", person).otherwise(F.when(F.upper(value) == value, F.upper(whole)).otherwise(_like(value, whole)))
+    return F.coalesce(out, value)
+
+
+def gendered(parts: DataFrame) -> DataFrame:
+    """``kind, norm`` of distinct parts.  The gender of a given name is what its titles say all over the
+    corpus, so that it is one name with and without a title that tells; names of either gender are of none."""
+    each = parts.groupBy("kind", "norm").agg(F.min(F.when(F.col("gender") != "any", F.col("gender"))).alias("_a"), F.max(F.when(F.col("gender") != "any", F.col("gender"))).alias("_z"))
+    gender = F.when(F.col("_a") == F.col("_z"), F.col("_a")).otherwise("any")
+    return each.select(F.col("kind").alias("part"), F.when(F.col("kind").startswith("given:"), F.concat("kind", gender)).otherwise(F.col("kind")).alias("kind"), "norm")
 
 
 def distinct_surrogates(entities: DataFrame, secret: str, name: str = "pii-map") -> DataFrame:
-    """``kind, norm, surrogate`` for distinct ``kind, norm``: no two alike, none a detected entity.
-
-    Each round draws for the entities still without one; a draw holds if it is no entity, not taken, and
-    its claimant is the first in order.  Claimants of a draw are few, as draws are spread by a hash."""
-    pending = cut(entities.select("kind", "norm"), name)
-    known, done, draw = pending, None, 0
-    claims = Window.partitionBy("kind", "surrogate").orderBy("norm")
-    while True:
-        drawn = pending.withColumn("_h", _digest(secret, F.col("kind"), F.col("norm"), F.lit(draw)))
-        drawn = drawn.withColumn("surrogate", surrogate(secret, F.col("kind"), F.col("norm"), F.lit(draw), F.col("_h"))).drop("_h")
-        drawn = drawn.withColumn("_claim", F.row_number().over(claims))
-        blocked = known.select("kind", F.col("norm").alias("surrogate"))
-        if done is not None:
-            blocked = blocked.unionByName(done.select("kind", "surrogate"))
-        held = drawn.where("_claim = 1").join(blocked, ["kind", "surrogate"], "left_anti").select("kind", "norm", "surrogate")
+    """``part, kind, norm, surrogate`` of distinct entities: no two of a kind alike, none a detected entity of
+    its kind unless these fill over a quarter of its format, none its own.
+
+    A draw holds if it is no entity, not taken, and its claimant is the first in order.  Permuted draws of
+    a format do not clash with each other, so as a rule the first draw holds for nearly all."""
+    if "part" not in entities.columns:
+        entities = entities.withColumn("part", F.col("kind"))
+    family = F.split("kind", ":")[0]  # given names of all genders are told apart
+    placed = entities.select("part", "kind", "norm", F.when(~F.col("kind").contains(":"), places(F.col("kind"), F.col("norm"))).alias("places"), F.when(F.col("kind") == "email", domain_places(F.col("norm"))).alias("domain"))
+    empty = F.array().cast("array<struct<s:string,a:string>>")
+    placed = placed.withColumns({"places": F.coalesce("places", empty), "domain": F.coalesce("domain", empty), "_family": family})
+    # of cards a format has one in ten of the values: the check digit, right or as far off
+    shaped = F.when(F.col("kind") == "card", F.slice("places", 1, F.size("places") - 1)).otherwise(F.col("places"))
+    shape = F.array_join(F.transform(shaped, lambda x: F.coalesce(F.concat(F.lit("\x01"), x["a"]), x["s"])), "\x02")
+    room = F.aggregate("places", F.lit(0.0), lambda a, x: a + F.log(F.coalesce(radix(x["a"]), F.lit(1)).cast("double")))
+    pending = cut(placed.withColumns({"_shape": shape, "_room": room}), name)
+    counts = pending.groupBy("kind", "_shape").agg(F.count("*").alias("_n"), F.first("_room").alias("_size"))
+    crowded = counts.where((F.log(F.col("_n").cast("double")) + F.log(F.lit(float(CROWDED))) > F.col("_size")) & ~F.col("kind").contains(":") & (F.col("kind") != "email")).select("kind", "_shape")
+    known = pending.select("_family", F.col("norm").alias("surrogate"))
+    kept = ["part", "kind", "norm", "surrogate", "_family"]
+    full = pending.join(crowded.hint("merge"), ["kind", "_shape"], "left_semi")
+    done = cut(drawn_surrogates(full, secret, 0).select(*kept), name)
+    pending = cut(pending.join(crowded.hint("merge"), ["kind", "_shape"], "left_anti"), name)
+    claims, draw = Window.partitionBy("_family", "surrogate").orderBy("kind", "norm"), 0
+    while not pending.isEmpty():
+        drawn = cut(drawn_surrogates(pending, secret, draw).withColumn("_claim", F.row_number().over(claims)), name)
+        blocked = known.unionByName(done.select("_family", "surrogate"))
+        held = drawn.where("_claim = 1").join(blocked.hint("merge"), ["_family", "surrogate"], "left_anti").select(*kept)
         held = cut(held, name)
-        done = held if done is None else done.unionByName(held)
-        pending = cut(pending.join(held, ["kind", "norm"], "left_anti"), name)
-        if pending.isEmpty():
-            return done
+        done = done.unionByName(held)
+        pending = cut(pending.join(held.select("kind", "norm").hint("merge"), ["kind", "norm"], "left_anti"), name)
+        drop_cut(drawn)
         draw += 1
+    return done.drop("_family")
 
 
 def replace_private(docs: DataFrame, secret: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -229,11 +388,12 @@ def replace_private(docs: DataFrame, secret: str, key: str = "doc_id", text: str
     listed = cut(listed, "pii-hits")
     each = listed.select("_hash", F.posexplode("_hits").alias("_i", "_value"))
     each = each.withColumn("kind", kind_of(F.col("_value")))
-    each = each.select("_hash", "_i", "_value", F.col("kind").alias("_kind"), F.posexplode(parts_of(F.col("kind"), F.col("_value"))).alias("_j", "_part"))
-    each = cut(each.select("_hash", "_i", "_value", "_kind", "_j", "_part.kind", "_part.norm"), "pii-each")
-    names = cut(distinct_surrogates(each.select("kind", "norm").distinct(), secret), "pii-names")
-    whole = each.join(names, ["kind", "norm"]).groupBy("_hash", "_i").agg(F.first("_value").alias("_value"), F.first("_kind").alias("kind"), F.sort_array(F.collect_list(F.struct("_j", "surrogate"))).alias("_parts"))  # two at most
-    new = in_format(F.col("kind"), F.col("_value"), F.transform("_parts", lambda x: x["surrogate"]))
+    each = each.select("_hash", "_i", "_value", F.col("kind").alias("_kind"), F.explode_outer(parts_of(F.col("kind"), F.col("_value"))).alias("_part"))
+    each = cut(each.select("_hash", "_i", "_value", "_kind", F.col("_part.i").alias("i"), F.col("_part.kind").alias("part"), "_part.norm", "_part.gender", "_part.sure"), "pii-each")
+    parts = each.where("sure").select(F.col("part").alias("kind"), "norm", "gender")
+    names = cut(distinct_surrogates(gendered(parts), secret).drop("kind"), "pii-names")
+    whole = each.join(names, ["part", "norm"], "left").groupBy("_hash", "_i").agg(F.first("_value").alias("_value"), F.first("_kind").alias("kind"), F.sort_array(F.collect_list(F.struct("i", "surrogate"))).alias("_parts"))  # the words of a name
+    new = in_format(F.col("kind"), F.col("_value"), F.col("_parts"))
     written = whole.select("_hash", F.struct("_i", new.alias("new"), "kind").alias("_new"))
     by_text = cut(written.groupBy("_hash").agg(F.sort_array(F.collect_list("_new")).alias("_news")), "pii-texts")  # of one text
     joined = some.withColumn("_hash", F.md5(F.col("_text").cast("binary"))).join(by_text, "_hash")

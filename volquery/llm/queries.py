@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,8 +49,12 @@ def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # a real corpus sets its own; the tables here are invented
-    return replace_private(table(spark, sf_dir, "documents"), spark.conf.get("spark.volquery.privacy.key", "invented tables"))
+    name = "spark.volquery.privacy.key"
+    secret = spark.conf.get(name, None)
+    if not secret:  # a key of this session alone: nobody can undo its surrogates, and no other run repeats them
+        secret = secrets.token_hex(32)
+        spark.conf.set(name, secret)
+    return replace_private(table(spark, sf_dir, "documents"), secret)
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
