@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.cover import local_frame
+from ..sources.scratch import scratch_folder
 
 #: The white space of the word definition used throughout: [^\x20\x09-\x0D]+
 SPACE_BYTES = bytes([0x20, *range(0x09, 0x0E)])
@@ -30,20 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a default only in local mode, an error on a cluster that names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = current.get() if current.isDefined() else None
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("a cluster must name a folder its executors share in spark.checkpoint.dir")
-        named = "/tmp/checkpoints/volquery"
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
 @contextlib.contextmanager
 def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     before = spark.conf.get(name)
@@ -67,11 +53,9 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     the loss of executors.  The table is deleted when the application ends, the shuffle files behind it as
     soon as it is written."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, name)
     with small_batches(spark), _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
         df.write.parquet(path)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     return spark.read.schema(df.schema).parquet(path)
 
 
