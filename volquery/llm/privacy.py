@@ -17,9 +17,6 @@ only: no list of names is used.
 
 from __future__ import annotations
 
-import functools
-import operator
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,14 +37,19 @@ NEUTRAL = "Dr|Prof|Doctor|Professor|Доктор|Профессор"
 #: Small words inside a name.  They stay.
 PARTICLES = "von|van|der|den|de|del|della|di|da|dos|du|la|le|bin|ibn|al|ten|ter|zu|zum|zur"
 TITLES = f"{FEMALE}|{MALE}|{NEUTRAL}"
-NAME = rf"(?:(?!(?i:{TITLES})\b)(?:\p{{Lu}}\.(?=\x20)|\p{{Lu}}[\p{{L}}\p{{M}}-]*(?:['’]\p{{Lu}}[\p{{L}}\p{{M}}-]+)?))"
+#: Titles as they are written: plain, in capitals, in small letters.  Their first letters are looked at first.
+WRITTEN = "|".join(sorted({form for t in TITLES.split("|") for form in (t, t.upper(), t.lower())}, reverse=True))
+TITLE = rf"(?<![{WORD}])(?=[{''.join(sorted({t[0] for t in WRITTEN.split('|')}))}])(?:{WRITTEN})\.?\x20(?:(?i:{PARTICLES})\x20)*(?=\p{{Lu}})"
+NAME = rf"(?:(?!(?:{WRITTEN})(?![{WORD}]))(?:\p{{Lu}}\.(?=\x20)|\p{{Lu}}[\p{{L}}\p{{M}}-]*(?:['’]\p{{Lu}}[\p{{L}}\p{{M}}-]+)?))"
 PERSON = (
-    rf"(?<![{WORD}])(?i:{TITLES})\.?\x20(?:(?i:{PARTICLES})\x20)*{NAME}(?:(?:\x20(?i:{PARTICLES})(?=\x20(?:\p{{Lu}}|(?i:{PARTICLES})\x20)))*\x20{NAME}){{0,3}}"
+    rf"{TITLE}{NAME}(?:(?:\x20(?i:{PARTICLES})(?=\x20(?:\p{{Lu}}|(?i:{PARTICLES})\x20)))*\x20{NAME}){{0,3}}"
     # a word in small letters: a name if it is one elsewhere
     rf"(?:\x20\p{{Ll}}[\p{{L}}\p{{M}}-]++)?"
 )
 KINDS = (("email", EMAIL), ("iban", IBAN), ("card", CARD), ("phone", PHONE), ("ssn", SSN), ("ip", IP), ("ipv6", IPV6), ("person", PERSON))
 ANY = "|".join(f"(?:{p})" for _, p in KINDS)
+#: For texts without a title.
+NUMBERS = "|".join(f"(?:{p})" for _, p in KINDS[:-1])
 #: Sounds of invented names, and the ends of given and family names.
 SOUNDS = {"latin": ("b d f g h j k l m n p r s t v w z ch sh th br tr", "a e i o u ai ei"), "cyrillic": ("б в г д ж з к л м н п р с т ф х ц ч ш", "а е и о у я ю"), "greek": ("β γ δ ζ θ κ λ μ ν π ρ σ τ φ χ", "α ε ι ο ου αι ει")}
 ENDS = {
@@ -68,15 +70,14 @@ RANGES = r"^(10|127|192\.168|169\.254|172\.(?:1[6-9]|2[0-9]|3[01])|22[4-9]|2[3-5
 FEISTEL, CROWDED = 4, 4
 
 
-def may_hold(text: Column) -> Column:
-    """Cheap and never wrongly false: every entity has a digit, an at sign or a title."""
-    low = F.lower(text)
-    titles = [low.contains(t.lower()) for t in sorted(set(TITLES.split("|")))]
-    return functools.reduce(operator.or_, titles, text.rlike("[0-9@]"))
+def chosen(text: Column, for_titles: Column, for_others: Column) -> Column:
+    """The first for texts with a title before a name, the second for others that have a digit or an at sign,
+    which every entity but a name has: names are looked for where a title is, which is cheap to tell."""
+    return F.when(text.rlike(TITLE), for_titles).when(text.rlike("[0-9@]"), for_others)
 
 
 def holds(text: Column) -> Column:
-    return may_hold(text) & text.rlike(ANY)
+    return F.coalesce(chosen(text, text.rlike(ANY), text.rlike(NUMBERS)), F.lit(False))
 
 
 def kind_of(value: Column) -> Column:
@@ -383,7 +384,8 @@ def replace_private(docs: DataFrame, secret: str, key: str = "doc_id", text: str
     hash of the text, so copies share one entry of the lookup and adaptive execution can split them."""
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     some = rows.where(holds(F.col("_text")))
-    hits = F.regexp_extract_all("_text", F.lit(ANY), F.lit(0))
+    whole_text = F.col("_text")
+    hits = chosen(whole_text, *[F.regexp_extract_all(whole_text, F.lit(p), F.lit(0)) for p in (ANY, NUMBERS)])
     listed = some.select(F.md5(F.col("_text").cast("binary")).alias("_hash"), hits.alias("_hits")).groupBy("_hash").agg(F.first("_hits").alias("_hits"))
     listed = cut(listed, "pii-hits")
     each = listed.select("_hash", F.posexplode("_hits").alias("_i", "_value"))
@@ -397,7 +399,7 @@ def replace_private(docs: DataFrame, secret: str, key: str = "doc_id", text: str
     written = whole.select("_hash", F.struct("_i", new.alias("new"), "kind").alias("_new"))
     by_text = cut(written.groupBy("_hash").agg(F.sort_array(F.collect_list("_new")).alias("_news")), "pii-texts")  # of one text
     joined = some.withColumn("_hash", F.md5(F.col("_text").cast("binary"))).join(by_text, "_hash")
-    pieces = F.split("_text", ANY, -1)
+    pieces = chosen(whole_text, *[F.split(whole_text, p, -1) for p in (ANY, NUMBERS)])
     news = F.concat(F.transform("_news", lambda x: x["new"]), F.array(F.lit("")))
     rebuilt = F.array_join(F.zip_with(pieces, news, lambda a, b: F.concat(a, b)), "")
 
@@ -405,6 +407,6 @@ def replace_private(docs: DataFrame, secret: str, key: str = "doc_id", text: str
         return F.size(F.filter("_news", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     changed = joined.select(F.col("_key").alias(key), rebuilt.alias(text), *[count(k) for k, _ in KINDS])
-    rest = rows.where(~F.coalesce(holds(F.col("_text")), F.lit(False)))
+    rest = rows.where(~holds(F.col("_text")))
     untouched = rest.select(F.col("_key").alias(key), F.col("_text").alias(text), *[F.lit(0).cast("long").alias(f"n_{k}") for k, _ in KINDS])
     return changed.unionByName(untouched)
