@@ -199,7 +199,7 @@ def test_pairs_meet_once(spark):
         # what probes of this radius would meet
         differ = [F.bit_count(p.value(F.col("code")).bitwiseXOR(p.value(F.col("query")))) for p in parts]
         met = cross.where(F.array(*differ)[F.col("segment")] == radius)
-        seen.update((r.i, r.j) for r in first_meetings(met, parts, 1, radius).collect())
+        seen.update((r.i, r.j) for r in first_meetings(met.withColumn("radius", F.lit(radius)), parts, 1).collect())
         covered = len(parts) * (radius + 1) - 1
         assert all(seen[i, j] == 1 for i in range(40) for j in range(40) if apart[i, j] <= covered)
     assert set(seen.values()) == {1} and len(seen) == 1600

@@ -6,7 +6,8 @@ in round r a query probes, in every segment, the values at exactly r bits from i
 distance d has some segment within d // m bits, so after round r everything within m * (r + 1) - 1 bits
 has been seen, and a query stops when that covers the k-th distance it has verified.
 
-All probes of a round are one join.  A pair that meets in several segments or rounds is verified where it
+Radii of few values share a round.  Probes of values that no code has are dropped where they are made, by
+bitmaps of bounded size.  All probes of a round are one join.  A pair that meets in several segments or rounds is verified where it
 meets first, so it is looked at once.
 """
 
@@ -33,8 +34,10 @@ LEAST_BITS, MOST_BITS = 8, 32
 #: Codes of one bucket that are searched in one piece, and queries of one code that are answered in one;
 #: more are split by a hash, so a crowded bucket or a very common query spreads over tasks.
 CHUNK = 4096
-#: Probes made at once.
-PROBES = 1 << 17
+#: Probes made at once, and the values of a segment that a query may probe in one round.
+PROBES, TOGETHER = 1 << 17, 1024
+#: Bytes of the bitmaps of occupied values.
+OCCUPIED = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -89,36 +92,69 @@ def masks(bits: int, radius: int) -> Iterator[np.ndarray]:
         yield (np.int64(1) << places).sum(axis=1)
 
 
-def probes(asked: DataFrame, parts: list[Segment], radius: int) -> DataFrame:
-    """``segment, value, query, bound``: the values at ``radius`` bits in every segment."""
+def occupied(buckets: DataFrame, parts: list[Segment]) -> list[np.ndarray]:
+    """For each segment a bitmap of the values that some code has (of their low bits, where there are more
+    values than bits).  All together are at most OCCUPIED bytes, whatever the number of codes."""
+    bits = min(MOST_BITS, max(6, int(math.log2(OCCUPIED * 8 / len(parts)))))
+    slot = F.col("value").bitwiseAND(F.lit((1 << min(bits, max(p.bits for p in parts))) - 1))
+    one = F.expr("shiftleft(1L, cast(_slot & 63 as int))")
+    words = buckets.withColumn("_slot", slot).groupBy("segment", F.shiftright("_slot", 6).alias("word")).agg(F.bit_or(one).alias("held")).toArrow()
+    out = [np.zeros(max(1, (1 << min(bits, p.bits)) >> 6), np.uint64) for p in parts]
+    segment, word, held = (words.column(c).to_numpy() for c in ("segment", "word", "held"))
+    for i, bitmap in enumerate(out):
+        mine = segment == i
+        bitmap[word[mine]] = held[mine].view(np.uint64)
+    return out
+
+
+def probes(asked: DataFrame, parts: list[Segment], radii: range, bitmaps: list[np.ndarray]) -> DataFrame:
+    """``segment, value, radius, query, bound``: the values at ``radii`` bits in every segment, without those
+    that no code has."""
+    shared = asked.sparkSession.sparkContext.broadcast(bitmaps)  # OCCUPIED bytes at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes = batch.column("query").flatten().to_numpy().reshape(batch.num_rows, -1)
-            for i, part in enumerate(parts):
+            for (i, part), radius in itertools.product(enumerate(parts), radii):
                 own = (codes[:, part.word].view(np.uint64) >> np.uint64(part.low)).astype(np.int64) & part.mask
+                bitmap = shared.value[i]
                 for mask in masks(part.bits, radius):
                     step = max(1, PROBES // len(mask))
                     for at in range(0, len(own), step):
                         value = (own[at : at + step, None] ^ mask[None, :]).ravel()
-                        row = pa.array(np.repeat(np.arange(at, min(at + step, len(own))), len(mask)))
-                        yield pa.RecordBatch.from_pydict({"segment": pa.array(np.full(len(value), i, np.int32)), "value": pa.array(value), **{c: batch.column(c).take(row) for c in ("query", "bound")}})
+                        slot = value & (len(bitmap) * 64 - 1)
+                        some = np.flatnonzero((bitmap[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1))
+                        row = pa.array(at + some // len(mask))
+                        fixed = {"segment": pa.array(np.full(len(some), i, np.int32)), "value": pa.array(value[some]), "radius": pa.array(np.full(len(some), radius, np.int32))}
+                        yield pa.RecordBatch.from_pydict(fixed | {c: batch.column(c).take(row) for c in ("query", "bound")})
+
+    return asked.select("query", "bound").mapInArrow(run, "segment int, value bigint, radius int, query array<bigint>, bound int")
+
 
-    return asked.select("query", "bound").mapInArrow(run, "segment int, value bigint, query array<bigint>, bound int")
+def rounds(bits: int) -> Iterator[range]:
+    """Radii from 0 to ``bits``, as many to a round as have TOGETHER values or fewer."""
+    first = 0
+    while first <= bits:
+        last, values = first, math.comb(bits, first)
+        while last < bits and values + math.comb(bits, last + 1) <= TOGETHER:
+            last += 1
+            values += math.comb(bits, last)
+        yield range(first, last + 1)
+        first = last + 1
 
 
 def _all(tests: list[Column]) -> Column:
     return functools.reduce(operator.and_, tests)
 
 
-def first_meetings(met: DataFrame, parts: list[Segment], words: int, radius: int) -> DataFrame:
-    """Of rows ``segment, query, code`` those where the pair meets for the first time, with its distance:
+def first_meetings(met: DataFrame, parts: list[Segment], words: int) -> DataFrame:
+    """Of rows ``segment, radius, query, code`` those where the pair meets for the first time, with its distance:
     every segment differs in ``radius`` bits or more, those before this one in more."""
     differing = F.array(*[F.col("query")[w].bitwiseXOR(F.col("code")[w]) for w in range(words)])
     apart = met.withColumn("_x", differing)
     distance = functools.reduce(operator.add, [F.bit_count(F.col("_x")[w]) for w in range(words)])
     counts = [F.bit_count(p.value(F.col("_x"))) for p in parts]
-    first = _all([c >= F.when(F.col("segment") > i, radius + 1).otherwise(radius) for i, c in enumerate(counts)])
+    first = _all([c >= F.when(F.col("segment") > i, F.col("radius") + 1).otherwise(F.col("radius")) for i, c in enumerate(counts)])
     return apart.where(first).withColumn("distance", distance.cast("int"))
 
 
@@ -141,18 +177,19 @@ def search(codes: DataFrame, words: int, k: int, key: str, chunk: int, name: str
 
     nearest = Window.partitionBy("query").orderBy("distance", F.col("key").asc_nulls_last())
     best, settled = None, []
-    for radius in range(max(p.bits for p in parts) + 1):
-        hit = probes(asked, parts, radius).join(buckets.hint("merge"), ["segment", "value"])
+    bitmaps = occupied(buckets, parts)
+    for radii in rounds(max(p.bits for p in parts)):
+        hit = probes(asked, parts, radii, bitmaps).join(buckets.hint("merge"), ["segment", "value"])
         hit = hit.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         met = hit.join(index.hint("merge"), ["segment", "value", "chunk"])
-        near = first_meetings(met, parts, words, radius).where("distance <= bound")
+        near = first_meetings(met, parts, words).where("distance <= bound")
         near = near.select("query", "distance", F.explode("keys").alias("key"))
         near = near if best is None else near.unionByName(best.select("query", "distance", "key"))
         near = near.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
         whole = Window.partitionBy("query")
         near = near.withColumn("n", F.count("*").over(whole)).withColumn("worst", F.max("distance").over(whole))
         near = cut(near, f"{name}-best")
-        covered = len(parts) * (radius + 1) - 1
+        covered = len(parts) * (radii[-1] + 1) - 1
         done = (F.col("n") >= k) & (F.col("worst") <= covered)
         settled.append(near.where(done))
         best = near.where(~done)
