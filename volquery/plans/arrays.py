@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +13,8 @@ from ..operators.tensor import to_voxels
 from ..operators.tiles import tile_voxels, to_tiles
 from ..operators.voxels import plane_shape
 from ..sources import fixtures
-from ..sources.array_store import grid_for, read_array, write_arrays
+from ..sources.array_store import grid_for, put_file, read_array, write_arrays
+from ..sources.image_groups import group_documents, image_levels
 from ..sources.scratch import scratch_folder
 from ..sources.volumes import open_box, open_volume
 from ..streaming.completeness import run_to_end
@@ -90,3 +95,27 @@ def stream_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = spark.read.parquet(f"{root}/out").where("complete")
     tiles = done.select("block", (F.col("block") * 10).alias("z0"), F.lit(0).cast("long").alias("y0"), F.lit(0).cast("long").alias("x0"), "nz", "ny", "nx", "dtype", "data")
     return tile_voxels(tiles, "p", ("block",)).select("block", "z", "y", "x", "p")
+
+
+@query(
+    """SELECT p_partkey::BIGINT AS part, i::BIGINT AS level, p_size * 0.5 * 2 ** i AS scale_z, CASE WHEN i > 0 THEN 2 END::BIGINT AS factor_z, NULL::VARCHAR AS reason FROM part, range(0, 3) t(i) WHERE p_size % 10 > 0
+UNION ALL SELECT p_partkey, NULL, NULL, NULL, CASE WHEN p_size % 20 = 0 THEN 'no attributes' ELSE 'not JSON' END FROM part WHERE p_size % 10 = 0"""
+)
+def image_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One image group a part, some without attributes and some with broken ones, read as a table of levels."""
+    root = scratch_folder(spark, "groups")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, size in zip(*(c.to_pylist() for c in batch.columns)):
+                sets = [{"path": str(i), "coordinateTransformations": [{"type": "scale", "scale": [1.0, 1.0, *[size * 0.5 * 2.0**i] * 3]}]} for i in range(3)]
+                body = json.dumps({"multiscales": [{"name": path, "datasets": sets}]}).encode()
+                if size % 20:
+                    put_file(f"{path}/.zattrs", body if size % 10 else body[:-1])
+            yield batch.select(["path"])
+
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit(f"{root}/"), F.col("p_partkey").cast("string")).alias("path"), F.col("p_size").cast("long").alias("size"))
+    parts.mapInArrow(write, "path string").write.parquet(f"{root}/written")
+    levels = image_levels(group_documents(spark.read.parquet(f"{root}/written")))
+    key = F.substring_index("path", "/", -1).cast("long").alias("part")
+    return levels.select(key, F.col("level").cast("long").alias("level"), F.col("scale")[0].alias("scale_z"), F.col("factor")[0].alias("factor_z"), "reason")

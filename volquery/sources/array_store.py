@@ -63,6 +63,11 @@ def _write(files: fs.FileSystem, path: str, data: bytes) -> None:
         stream.write(data)
 
 
+def put_file(path: str, data: bytes) -> None:
+    files, inner = _files(path)
+    _write(files, inner, data)
+
+
 def blosc_decode(frame: bytes) -> bytes:
     """The bytes of a Blosc (version 1) frame whose codec is one of BLOSC_CODECS, shuffled by bytes or not."""
     flags, width = frame[2], frame[3]
