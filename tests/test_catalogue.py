@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from volquery.plans import stored  # noqa: F401 (adds its queries)
+from volquery.plans import arrays, stored  # noqa: F401 (they add their queries)
 from volquery.plans.catalogue import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"

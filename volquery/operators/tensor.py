@@ -53,30 +53,31 @@ def chunk_extents(chunks: DataFrame) -> tuple[int, int, int]:
     return tuple(int(v) for v in row)
 
 
-def run_block(volume: np.ndarray, cores: tuple, wides: tuple, cfg: JobConfig, model: Model) -> np.ndarray:
-    """``(channels, z, y, x)`` of a block's core from its widened voxels.
-
-    Statistics are those of the widened block in double; patches that reach beyond it are filled with
-    zeros; equal starts win by order, so results do not depend on batches."""
-    value = volume.astype(np.float64)
-    low, high = 0.0, 1.0
-    if cfg.normalize == "percentile":
-        low, high = (float(x) for x in np.percentile(value, [cfg.norm_lower, cfg.norm_upper]))
-    elif cfg.normalize == "global":
+def scaled(value: np.ndarray, cfg: JobConfig, bounds: tuple[float, float] | None) -> tuple[np.ndarray, float, float]:
+    """Normalised voxels, and the offset and scale that take a result back; ``bounds`` are the block's percentiles."""
+    low, high = bounds or (0.0, 1.0)
+    if cfg.normalize == "global":
         low, high = float(cfg.norm_lower), float(cfg.norm_upper)
         value = np.clip(value, low, high)
     scale = max(high - low, cfg.eps) if cfg.normalize in ("percentile", "global") else 1.0
     value = (value - low) / scale
     if cfg.clip_bounds:
         value = np.clip(value, *cfg.clip_bounds)
+    return value, low, scale
+
+
+def axis_patches(length: int, axis: int, cfg: JobConfig) -> list[tuple[int, int, Span, np.ndarray]]:
+    """Start, valid size, kept offsets and weights of a block's patches along one axis."""
+    entries = []
+    for s in axis_starts(length, cfg.patch[axis], cfg.overlap):
+        v = valid_size(s, cfg.patch[axis], length)
+        entries.append((s, v, kept_span(s, v, length, cfg.trim_voxels or 0), blend_ramp(s, v, length, cfg.overlap, cfg.min_blend_weight)))
+    return entries
+
+
+def stitched(value: np.ndarray, per_axis: list[list[tuple]], cfg: JobConfig, model: Model, low: float, scale: float) -> tuple[np.ndarray, np.ndarray]:
+    """The model's patches put together: sums by channel, and weights.  Starts are offsets in ``value``."""
     shape = value.shape
-    per_axis = []
-    for length, patch in zip(shape, cfg.patch):
-        entries = []
-        for s in axis_starts(length, patch, cfg.overlap):
-            v = valid_size(s, patch, length)
-            entries.append((s, v, kept_span(s, v, length, cfg.trim_voxels or 0), blend_ramp(s, v, length, cfg.overlap, cfg.min_blend_weight)))
-        per_axis.append(entries)
     total, weight = np.zeros((model.channels, *shape)), np.zeros(shape)
     todo = list(itertools.product(*per_axis))
     for at in range(0, len(todo), cfg.batch_size):
@@ -102,12 +103,26 @@ def run_block(volume: np.ndarray, cores: tuple, wides: tuple, cfg: JobConfig, mo
                 place = tuple(slice(s, s + v) for s, v, _, _ in axes)
                 total[(slice(None), *place)] += result[(i, slice(None), *[slice(0, v) for _, v, _, _ in axes])] * w
                 weight[place] += w
+    return total, weight
+
+
+def run_block(volume: np.ndarray, cores: tuple, wides: tuple, cfg: JobConfig, model: Model) -> np.ndarray:
+    """``(channels, z, y, x)`` of a block's core from its widened voxels.
+
+    Statistics are those of the widened block in double; patches that reach beyond it are filled with
+    zeros; equal starts win by order, so results do not depend on batches."""
+    value = volume.astype(np.float64)
+    bounds = tuple(float(x) for x in np.percentile(value, [cfg.norm_lower, cfg.norm_upper])) if cfg.normalize == "percentile" else None
+    value, low, scale = scaled(value, cfg, bounds)
+    per_axis = [axis_patches(length, axis, cfg) for axis, length in enumerate(value.shape)]
+    total, weight = stitched(value, per_axis, cfg, model, low, scale)
     total /= np.maximum(weight, cfg.eps)
     crop = tuple(slice(c.start - w.start, c.stop - w.start) for c, w in zip(cores, wides))
     return total[(slice(None), *crop)]
 
 
-def _block(axis: int, k: int, cfg: JobConfig, shape: tuple[int, int, int]) -> AxisBlock:
+def axis_block(axis: int, k: int, cfg: JobConfig, shape: tuple[int, int, int]) -> AxisBlock:
+    """A block's core and widened core along one axis."""
     n, b, h = shape[axis], cfg.block[axis], cfg.halo
     core = (k * b, min(n, (k + 1) * b))
     return AxisBlock(k, Span(*core), Span(max(0, core[0] - h), min(n, core[1] + h)))
@@ -119,7 +134,7 @@ def block_parts(chunks: DataFrame, cfg: JobConfig, shape: tuple[int, int, int])
     def touching(axis: int, start: int, size: int) -> list[tuple[int, int, int]]:
         n, b, h = shape[axis], cfg.block[axis], cfg.halo
         first, last = max(0, (start - h) // b), min(-(-n // b) - 1, (start + size - 1 + h) // b)
-        blocks = [_block(axis, k, cfg, shape) for k in range(first, last + 1)]
+        blocks = [axis_block(axis, k, cfg, shape) for k in range(first, last + 1)]
         return [(x.k, max(start, x.wide.start), min(start + size, x.wide.stop)) for x in blocks if x.wide.start < start + size and start < x.wide.stop]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +154,7 @@ def infer_tiles(chunks: DataFrame, cfg: JobConfig, model: Model, shape: tuple[in
     ``clipped`` counts the values beyond its range.  Blocks are Arrow buffers from end to end."""
 
     def solve(name: tuple, group: pa.Table) -> pa.Table:
-        blocks = [_block(a, k.as_py(), cfg, shape) for a, k in enumerate(name)]
+        blocks = [axis_block(a, k.as_py(), cfg, shape) for a, k in enumerate(name)]
         volume = None
         for row in rows_of(group):
             part = array_of(row)

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.bricks import task_bytes_of
+from ..operators.models import MODELS
 from ..operators.tensor import to_voxels
 from ..operators.tiles import tile_voxels, to_tiles
 from ..operators.voxels import plane_shape
@@ -20,8 +22,8 @@ from ..sources.volumes import open_box, open_volume
 from ..streaming.completeness import run_to_end
 from ..streaming.tiles import read_patches, stitch_tiles
 from . import oracle
-from .catalogue import G1, G4, _pyramid_sql, _seam_sql, _seams, config, query, tidy
-from .job import build_array_pyramid, run
+from .catalogue import G1, G2, G4, _pyramid_sql, _seam_sql, _seams, config, query, tidy
+from .job import build_array_pyramid, plan_chunks, run
 
 CHUNK = (8, 5, 5)
 _EVENTS = oracle.VOLUMES["events"]
@@ -60,6 +62,25 @@ def job_array_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _seams(to_voxels(read_array(spark, f"{root}/out"), "v"))
 
 
+def _in_bricks(spark: SparkSession, sf_dir: str, volume: str, g: dict, model: str, **more) -> DataFrame:
+    """A chunked job whose tasks hold a part of a block only."""
+    rows = (fixtures.events_volume if volume == "events" else fixtures.vectors_volume)(spark, sf_dir)
+    tiles, _ = plan_chunks(to_tiles(rows, CHUNK), config(g, **more), MODELS.load(model), "float64", plane_shape(rows), task_bytes_of(tuple(n + 1 for n in g["patch"]), 1))
+    return _seams(tile_voxels(tiles, "v"))
+
+
+@query(_seam_sql("events", G2, "demean", oracle.blend(1e-6)))
+def bricks_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks beyond a task's memory, in bricks of patches: blended, with percentiles of the whole block."""
+    return _in_bricks(spark, sf_dir, "events", G2, "patch-demean", seam_mode="blend")
+
+
+@query(_seam_sql("vectors", G4, "demean", oracle.TRIM, "off"))
+def bricks_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with trimmed seams."""
+    return _in_bricks(spark, sf_dir, "vectors", G4, "patch-demean", normalize=False)
+
+
 @query("SELECT count(*) AS voxels, ceil((max(event_id) // 100 + 1) / 10.0)::BIGINT AS blocks, count(*) FILTER (value > 127 OR value < -128) AS clipped FROM events")
 def job_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a job counts while it writes: voxels, blocks, and values cut by the output type."""

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..config import JobConfig
 from ..functions.grid import throughput_mb_s
 from ..functions.scalars import saturate
+from ..operators.bricks import TASK_BYTES, infer_bricks, part_for
 from ..operators.metadata import image_metadata
 from ..operators.models import Model, load_model
 from ..operators.tensor import chunk_extents, infer_chunks, infer_tiles, to_chunks, to_voxels
@@ -50,12 +51,14 @@ def plan(spark: SparkSession, source: DataFrame, cfg: JobConfig, model: Model, d
     return voxels.select("z", "y", "x", "channel", saturate(F.col("v"), dtype).alias("v")), shape
 
 
-def plan_chunks(chunks: DataFrame, cfg: JobConfig, model: Model, dtype: str = "float32", shape: tuple[int, int, int] | None = None) -> tuple[DataFrame, tuple[int, int, int]]:
+def plan_chunks(chunks: DataFrame, cfg: JobConfig, model: Model, dtype: str = "float32", shape: tuple[int, int, int] | None = None, task_bytes: int = TASK_BYTES) -> tuple[DataFrame, tuple[int, int, int]]:
     """``channel``, tiles and ``clipped`` of one plane, and its extents: dense blocks in, dense blocks out, with
-    any model.  Voxels are never rows; the one shuffle carries the parts of widened blocks."""
+    any model.  Voxels are never rows; the one shuffle carries the parts of widened blocks.  Blocks of over
+    ``task_bytes`` of doubles are worked on in bricks."""
     plane = chunks.where((F.col("t") == cfg.t_idx) & (F.col("c") == cfg.c_idx))
     shape = shape or chunk_extents(plane)
-    return infer_tiles(plane, cfg, model, shape, dtype), shape
+    part = part_for(cfg, model.channels, task_bytes)
+    return (infer_bricks(plane, cfg, model, shape, part, dtype) if part else infer_tiles(plane, cfg, model, shape, dtype)), shape
 
 
 def counted(result: DataFrame) -> tuple[DataFrame, Observation]:
@@ -67,9 +70,10 @@ def counted(result: DataFrame) -> tuple[DataFrame, Observation]:
     return result.observe(seen, voxels.alias("voxels"), F.count("*").alias("blocks"), clipped.alias("clipped")).drop("clipped"), seen
 
 
-def write_result(tiles: DataFrame, specs: list[dict[str, Any]], cfg: JobConfig, shape: tuple[int, int, int], dtype: str, mode: str) -> None:
+def write_result(tiles: DataFrame, specs: list[dict[str, Any]], cfg: JobConfig, shape: tuple[int, int, int], dtype: str, mode: str, part: tuple[int, int, int] | None = None) -> None:
     """Tiles to array stores, channel n to store n.  A store is made if its specification says ``create``, or
-    replaced if it says ``delete_existing``; else the plane is written into the one that is there."""
+    replaced if it says ``delete_existing``; else the plane is written into the one that is there.  Tiles are blocks, or ``part`` of
+    them."""
     if len({(bool(s.get("create")), bool(s.get("delete_existing"))) for s in specs}) > 1:
         raise ValueError("the stores of a job are all made, all replaced or all written into")
     first = specs[0]
@@ -82,18 +86,20 @@ def write_result(tiles: DataFrame, specs: list[dict[str, Any]], cfg: JobConfig,
     if not (cfg.t_idx < grid.shape[0] and cfg.c_idx < grid.shape[1]):
         raise IndexError(f"plane ({cfg.t_idx}, {cfg.c_idx}) is outside the store {grid.shape[:2]}")
     placed = tiles.withColumns({"t": F.lit(cfg.t_idx), "c": F.lit(cfg.c_idx)})
-    if any(b % n and b < s for b, n, s in zip(cfg.block, grid.chunks[2:], shape)):
+    sides = [(b, n, s) for tile in (cfg.block, part or cfg.block) for b, n, s in zip(tile, grid.chunks[2:], shape)]
+    if any(b % n and b < s for b, n, s in sides):
         placed = retile(placed, grid.chunks[2:], ("channel", "t", "c"))
     write_arrays(placed, paths, grid if making else None, placing)
 
 
-def run(spark: SparkSession, source: DataFrame | str | dict[str, Any], sinks: list[Any] | Any, cfg: JobConfig, model: Model | str, weights: str | None = None, dtype: str = "float32", metrics: str | None = None, mode: str = "errorifexists", itemsize: int = 2) -> JobResult:
+def run(spark: SparkSession, source: DataFrame | str | dict[str, Any], sinks: list[Any] | Any, cfg: JobConfig, model: Model | str, weights: str | None = None, dtype: str = "float32", metrics: str | None = None, mode: str = "errorifexists", itemsize: int = 2, task_bytes: int = TASK_BYTES) -> JobResult:
     """Channel n of the model goes to sink n: a folder of parquet, or an array store by its specification
     (``{"driver": "zarr", ...}``, as a mapping or JSON text).
 
     Folders take the form of the source: tiles of a chunked volume (array stores, ``"form": "chunks"``), voxel
     rows of any other; array stores take tiles of either.  A failed task fails the job; the number of channels
-    is checked before anything is written, and all stores of a job appear together."""
+    is checked before anything is written, and all stores of a job appear together.  Dense blocks of over
+    ``task_bytes`` of doubles are worked on in bricks."""
     sinks = [sinks] if isinstance(sinks, (str, dict)) else list(sinks)
     specs = [parse_spec(spark, s) if isinstance(s, dict) or s.lstrip()[:1] == "{" else {"path": s} for s in sinks]
     model = load_model(model, weights, spark) if isinstance(model, str) else model
@@ -106,17 +112,17 @@ def run(spark: SparkSession, source: DataFrame | str | dict[str, Any], sinks: li
     source = source if isinstance(source, DataFrame) else parse_spec(spark, source)
     if isinstance(source, dict) and is_chunked(source):
         chunks, stated = open_chunks(spark, source)
-        result, shape = plan_chunks(chunks, cfg, model, dtype, stated)
+        result, shape = plan_chunks(chunks, cfg, model, dtype, stated, task_bytes)
     else:
         volume = source if isinstance(source, DataFrame) else open_volume(spark, source)
         if all(arrays):
             plane = volume.where((F.col("t") == cfg.t_idx) & (F.col("c") == cfg.c_idx))
-            result, shape = plan_chunks(to_tiles(plane, cfg.block), cfg, model, dtype)
+            result, shape = plan_chunks(to_tiles(plane, part_for(cfg, model.channels, task_bytes) or cfg.block), cfg, model, dtype, task_bytes=task_bytes)
         else:
             result, shape = plan(spark, volume, cfg, model, dtype)
     result, seen = counted(result)
     if all(arrays):
-        write_result(result, specs, cfg, shape, dtype, mode)
+        write_result(result, specs, cfg, shape, dtype, mode, part_for(cfg, model.channels, task_bytes))
     elif len(specs) > 1:
         write_channels(result, [s["path"] for s in specs], mode)
     else:
