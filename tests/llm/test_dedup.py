@@ -161,3 +161,48 @@ def test_chunks_of_one_key_stand_once_in_an_index(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got == want
+
+
+@pytest.mark.parametrize("tokens", [1 << 18, 400])
+def test_groups_that_are_alike_leave_a_forest_of_links(spark, monkeypatch, tokens):
+    """Texts that share passages, most of them below the limit: components as all pairs give, and no list of
+    pairs is written."""
+    import random
+
+    from conftest import prose
+    from volquery.llm import similar as s
+
+    rng, rows = random.Random(4), []
+    for _ in range(4):
+        passage = prose(rng, 60).split()
+        for _ in range(30):
+            own = prose(rng, 40).split()
+            rows.append(passage + own[: rng.randint(1, 25)])
+    rows += [rows[0], [], ["one"], ["ONE"]]
+    sets = [{tuple(w.lower() for w in r[i : i + 5]) for i in range(max(1, len(r) - 4))} if r else set() for r in rows]
+    smallest, moved = list(range(len(rows))), True
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    while moved:
+        moved = False
+        for i, j in near:
+            if smallest[i] != smallest[j]:
+                smallest[i] = smallest[j] = min(smallest[i], smallest[j])
+                moved = True
+    written = []
+
+    def seen(*parts):
+        links = links_inside(*parts)
+        written.append(links.count())
+        return links
+
+    links_inside = s.links_inside
+    monkeypatch.setattr(s, "links_inside", seen)
+    # without hubs' links and fingerprints, all is left to the inside of groups
+    monkeypatch.setattr(s, "similar_pairs", lambda pairs, sets, similarity: pairs.where("false"))
+    docs = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.component for r in s.similar_documents(docs, tokens=tokens).collect()}
+    assert len(near) > len(rows) and got == dict(enumerate(smallest))
+    groups = len(rows) * 30  # a forest of each group of a shingle
+    assert written and sum(written) < groups
+    with pytest.raises(ValueError):
+        s.similar_documents(docs, similarity=0.805)

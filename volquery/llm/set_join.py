@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import cut, drop_cut, row_slices, small_batches
-from .similar import _mix, set_id, shingle_sets_of, similar
+from .shingles import _mix, set_id, shingle_sets_of, similar
 
 WIDTH, PERCENT = 5, 80
 #: Documents sampled for the costs, the count from which a signature is listed, and the most that are.
