@@ -206,3 +206,40 @@ def test_groups_that_are_alike_leave_a_forest_of_links(spark, monkeypatch, token
     assert written and sum(written) < groups
     with pytest.raises(ValueError):
         s.similar_documents(docs, similarity=0.805)
+
+
+def test_whole_sets_are_read_only_where_sketches_leave_a_pair_open(spark, monkeypatch):
+    """Families that share most of their words, below the limit: their groups stay apart, but hardly a set is read."""
+    from conftest import prose
+    from volquery.llm import set_join
+    from volquery.llm import similar as s
+
+    rng, rows = random.Random(6), []
+    for _ in range(3):
+        passage = prose(rng, 84)
+        rows += [f"{passage} {prose(rng, 20)}" for _ in range(12)]
+    rows += [rows[0], rows[0] + " tail"]
+    read, rooted, cut, inside = [], [], s.cut, s.links_inside
+
+    def written(df, name):
+        out = cut(df, name)
+        if name == "similar-sets":
+            read.append(out.count())
+        return out
+
+    def seen(groups, *more):
+        rooted.append(groups.select("_set").distinct().count())
+        read.clear()
+        return inside(groups, *more)
+
+    monkeypatch.setattr(s, "cut", written)
+    monkeypatch.setattr(s, "links_inside", seen)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.component for r in s.similar_documents(docs).collect()}
+    assert got == {**{i: i for i in range(36)}, 36: 0, 37: 0}
+    # groups were apart; before, each of their sets was read for each of the groups it was in
+    assert rooted[0] > 20 and sum(read) < 5
+
+    member = [(1, 0, 0, 0, 5, 1), (1, 0, 0, 0, 6, 1), (2, 0, 0, 0, 5, 1), (2, 0, 0, 0, 6, 1), (3, 0, 1, 0, 5, 1), (3, 0, 1, 1, 6, 1), (4, 0, 0, 0, 5, 1), (4, 0, 0, 0, 6, 0)]
+    groups = spark.createDataFrame(member, "g long, ci int, cj int, chunk int, _set long, probe int")
+    assert sorted(r.g for r in set_join.different_groups(groups).collect()) == [1, 1, 3, 3, 4, 4]

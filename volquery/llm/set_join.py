@@ -17,7 +17,7 @@ against chunk: by sketches, then on the whole sets, and only a forest of the lin
 from __future__ import annotations
 
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -430,9 +430,19 @@ def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def links_inside(rooted: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float, tokens: int) -> DataFrame:
+def different_groups(rows: DataFrame) -> DataFrame:
+    """Of the groups (``g, ci, cj``) that hold the same ``chunk, _set, probe``, the rows of one."""
+    names, member = ["g", "ci", "cj"], F.xxhash64("chunk", "_set", "probe")
+    named = rows.groupBy(*names).agg(F.count("*").alias("k"), F.bit_xor(member).alias("x"), F.sum(member % (1 << 31)).alias("s"))
+    first = named.groupBy("k", "x", "s").agg(F.min(F.struct(*names)).alias("first")).select("first.*")
+    return rows.join(first.hint("merge"), names, "left_semi")
+
+
+def links_inside(rooted: DataFrame, nodes: DataFrame, sets: DataFrame | Callable[[DataFrame], DataFrame], similarity: float, tokens: int) -> DataFrame:
     """``a, b``: links that join the components of each group (``g, _set, probe, root``) as all its similar
-    pairs would.  A task holds two chunks of a group, of about ``tokens`` tokens, at a time."""
+    pairs would.  A task holds two chunks of a group, of about ``tokens`` tokens, at a time.  ``sets`` may be
+    a function that makes a table (dropped here) of the sets of the rows that sketches leave open, which are
+    few; of groups that are then the same one is checked."""
     n = int(rooted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fields = "g bigint, ci int, cj int, chunk int, _set bigint, n int, root bigint, probe int"
 
@@ -455,9 +465,15 @@ def links_inside(rooted: DataFrame, nodes: DataFrame, sets: DataFrame, similarit
     met = met.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     names = ["g", F.least("chunk", "o").alias("ci"), F.greatest("chunk", "o").alias("cj"), "chunk", "_set", "n", "root", "probe"]
     open_ = cut(grouped(met.select(*names, "sketch")).mapInArrow(sift, fields), "join-open")
+    made = callable(sets)
+    if made:
+        left, open_ = open_, cut(different_groups(open_), "join-different")
+        drop_cut(left)
+        sets = sets(open_)
     with small_batches(rooted.sparkSession):
         links = cut(grouped(open_.join(sets.hint("merge"), "_set").select(*[f.split()[0] for f in fields.split(", ")], "shingles")).mapInArrow(check, "a bigint, b bigint"), "join-inside")
-    drop_cut(open_)
+    for table in (open_, sets) if made else (open_,):
+        drop_cut(table)
     return links
 
 
