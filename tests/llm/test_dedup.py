@@ -10,6 +10,7 @@ import xxhash
 from volquery.llm.components import connected_components
 from volquery.llm.repeats import repeated_passages
 from volquery.llm.run_length_index import RunLengthIndex, repeated_starts
+from volquery.llm.shared import cut
 from volquery.llm.simhash import _cross, _forest, fingerprint_bytes, links, near_duplicates
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -95,6 +96,41 @@ def test_components_of_chains_and_stars(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
+def test_components_take_few_tables(spark, monkeypatch):
+    """Each table is a stage of tasks that the driver keeps in memory."""
+    from volquery.llm import components
+
+    names = []
+    monkeypatch.setattr(components, "cut", lambda df, name: names.append(name) or cut(df, name))
+    edges = spark.range(0, 4000, 1, 4).selectExpr("id AS a", "id + 1 AS b")
+    got = connected_components(edges, "a", "b").groupBy("root").count().collect()
+    assert [tuple(r) for r in got] == [(0, 4001)] and len(names) <= 12
+
+
+@pytest.mark.parametrize("held", [3, 16, 10_000])
+def test_forests_of_a_task_keep_components(monkeypatch, held):
+    import pyarrow as pa
+
+    from volquery.llm import components
+
+    monkeypatch.setattr(components, "HELD", held)
+    rng = np.random.default_rng(held)
+    u, v = rng.integers(-300, 300, (2, 250))
+    batches = [pa.RecordBatch.from_arrays([pa.array(u[i : i + 7]), pa.array(v[i : i + 7])], ["u", "v"]) for i in range(0, 250, 7)]
+    out = [r for b in components._forests(iter(batches)) for r in zip(b.column("u").to_pylist(), b.column("v").to_pylist())]
+    assert all(b < a for a, b in out) and len(out) <= 250
+
+    def smallest(links):
+        name = {int(x): int(x) for x in (*u, *v)}
+        for _ in range(len(name)):
+            for a, b in links:
+                name[a] = name[b] = min(name[a], name[b])
+        return name
+
+    assert smallest(out) == smallest(list(zip(u.tolist(), v.tolist())))
+    assert held < 10_000 or sorted(out) == sorted((x, r) for x, r in smallest(out).items() if x != r)
+
+
 def slow_repeats(texts, length):
     raw = [(t or "").encode() for t in texts]
     seen = collections.Counter(b[i : i + length] for b in raw for i in range(len(b) - length + 1))

@@ -327,3 +327,18 @@ def test_luhn(spark, value, ok):
     from pyspark.sql import functions as F
 
     assert spark.range(1).select(privacy.luhn_ok(F.lit(value))).first()[0] is ok
+
+
+def test_sums_of_partitions_stay_arrays_on_the_driver(spark, tmp_path):
+    import tracemalloc
+
+    from volquery.llm.quality_classifier import N_STATISTICS, fit
+
+    stats = F.array(*[F.rand(i).cast("float") for i in range(N_STATISTICS)]).alias("stats")
+    rows = spark.range(0, 800, 1, 16).select(stats, (F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 3 % 2).cast("int").alias("fold"))
+    rows.write.parquet(path := f"{tmp_path}/rows")
+    tracemalloc.start()
+    fit(spark.read.parquet(path).repartition(16))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20

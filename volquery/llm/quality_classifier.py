@@ -145,7 +145,9 @@ def fit(labelled: DataFrame) -> FourierRidge:
 
     partial = labelled.select("stats", "y", "fold").mapInArrow(partition_sums, "sums array<double>")
     grouped = partial.repartition(SUM_GROUPS).mapInArrow(add, "sums array<double>")  # one matrix a partition in, SUM_GROUPS out
-    total = np.sum([np.array(x) for x in grouped.toArrow().column("sums").to_pylist()], axis=0)
+    total = np.zeros(FOLDS * (width * width + width + 2))
+    for chunk in grouped.toArrow().column("sums").chunks:
+        total += chunk.flatten().to_numpy().reshape(len(chunk), -1).sum(axis=0)
     gram, rest = total[: FOLDS * width * width].reshape(FOLDS, width, width), total[FOLDS * width * width :]
     moment, square = rest[: FOLDS * width].reshape(FOLDS, width), rest[FOLDS * width :].reshape(FOLDS, 2)
 

@@ -510,7 +510,7 @@ def set_components(rooted: DataFrame, nodes: DataFrame, sets: DataFrame, similar
         linked = links[0]
         for more in links[1:]:
             linked = linked.unionByName(more)
-        roots = cut(connected_components(linked, "a", "b", f"join-roots-{i}"), "join-roots")
+        roots = connected_components(linked, "a", "b", f"join-roots-{i}")
         if i < ROUNDS:
             old, rooted = rooted, apart(rooted, roots)
             drop_cut(old)
